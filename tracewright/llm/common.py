@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``; null counts as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -38,3 +23,16 @@ def remainder(column: str, modulus: int) -> Column:
 def parts(df: DataFrame) -> int:
     """Shuffle partitions set for this session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batches: Iterator[pd.DataFrame], text_col: str = "text", chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """The same rows in order, in frames of some ``chars`` characters (or one row), so that what a task makes of them stays small."""
+    for b in batches:
+        first = size = 0
+        for i, n in enumerate(b[text_col].str.len().fillna(0)):
+            size += n
+            if size >= chars:
+                yield b.iloc[first : i + 1]
+                first, size = i + 1, 0
+        if first < len(b):
+            yield b.iloc[first:]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, secrets
+from . import bpe, langid, minhash, secrets
 
 QUERIES = {
     "op2_language_id": langid.query,
     "op4_secret_scan": secrets.query,
     "op6_bpe": bpe.query,
+    "op10_minhash": minhash.query,
 }
 
 ORACLES: dict[str, str] = {}
