@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, table
+from .common import parts, slices, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPECIAL = {"<|endoftext|>": 50256}
@@ -85,7 +85,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(ranks_path)
-        for b in batches:
+        for b in slices(batches):
             ids = [c.encode(t) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "ids": ids, "decoded": [c.decode(x) for x in ids]})
 
@@ -97,7 +97,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(ranks_path)
-        for b in batches:
+        for b in slices(batches):
             yield pd.DataFrame({"row": b["row"], "id": b["id"], "leaf": b["leaf"], "ids": [c.encode(t) for t in b["text"]]})
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
