@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, secrets
+from . import bpe, decontam, langid, minhash, secrets
 
 QUERIES = {
     "op2_language_id": langid.query,
+    "op3_decontamination": decontam.query,
     "op4_secret_scan": secrets.query,
     "op6_bpe": bpe.query,
     "op10_minhash": minhash.query,
