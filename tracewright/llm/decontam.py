@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,15 +230,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def free_of(held: Broadcast):
+    """A column function: whether a text holds none of the index's items."""
+
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([not m for part in slices([texts.to_frame("text")]) for m in held.value.matches(list(part["text"]))], dtype=bool)
+
+    return F.pandas_udf(clean, "boolean")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no benchmark item was found."""
     kept = docs
     for index in indexes(table(spark, sf_dir, "benchmark")):
-        held = spark.sparkContext.broadcast(index)
-
-        def clean(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series([not m for part in slices([texts.to_frame("text")]) for m in held.value.matches(list(part["text"]))], dtype=bool)
-
-        kept = kept.where(F.pandas_udf(clean, "boolean")("text"))
+        kept = kept.where(free_of(spark.sparkContext.broadcast(index))("text"))
     return kept
