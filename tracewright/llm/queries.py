@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, minhash, secrets
+from . import ann, bpe, decontam, langid, minhash, secrets, sharding
 
 QUERIES = {
     "op2_language_id": langid.query,
     "op3_decontamination": decontam.query,
     "op4_secret_scan": secrets.query,
+    "op5_sharding": sharding.query,
     "op6_bpe": bpe.query,
+    "op7_ann": ann.query,
     "op10_minhash": minhash.query,
 }
 
