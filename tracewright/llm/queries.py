@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontam, langid, minhash, secrets, sharding
+from . import ann, bpe, ctw, decontam, langid, minhash, secrets, sharding
 
 QUERIES = {
     "op2_language_id": langid.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sharding": sharding.query,
     "op6_bpe": bpe.query,
     "op7_ann": ann.query,
+    "op9_ctw": ctw.query,
     "op10_minhash": minhash.query,
 }
 
