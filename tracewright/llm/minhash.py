@@ -9,10 +9,11 @@ lowers it. One minus it is a metric, which is used below. Pairs of ``SIMILARITY`
 connected components of the links and of equal texts.
 
 Candidates are never paired all with all. Equal texts are one item from the start. In each bucket every member is
-compared with the bucket's least member (the pivot). Members that fail stay in the bucket and choose a new pivot, and
-members whose distance to the pivot lets them still be near to one that passed (by the triangle inequality) are compared
-with those, unless they have met in one class meanwhile. So no link between different items of a bucket is lost, while
-buckets of true copies cost one comparison each.
+compared with the bucket's least member (the pivot), which settles buckets of true copies with one comparison each. What
+is left are buckets whose members are then still in several classes: there, members that failed are compared with all
+those that the triangle inequality lets be near and that have not met in one class meanwhile. A bucket with more than
+``LEFTOVER_ROWS`` of them is first dealt to smaller ones, by a second tuple that its members must share; pairs of
+``SIMILARITY`` do so about as surely as they share the first.
 
 Defined results: a null text is a class of its own (its row's id); empty texts, and texts without words, are classes by
 equal text; a text under ``SHINGLE`` words is one k-mer; repeated rows give repeated rows in one class; an empty table
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from .common import slices, table, written
 
-SHINGLE, SIMILARITY, SKETCHES, PICK = 5, 0.8, 24, 4
+SHINGLE, SIMILARITY, SKETCHES, PICK = 5, 0.8, 48, 7
 #: Rows of a side that may be broadcast: some 30 MB of keys; above it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Of a bucket whose members are not all in one class, so many are settled in one task; more are dealt to smaller buckets.
+LEFTOVER_ROWS = 2_000
 #: Members compared with one pivot in one task.
 SALT_ROWS = 2_000
 
@@ -111,10 +114,16 @@ def sketch(text: str) -> list[int]:
         return []
     a, b = seeds()
     pick = min(PICK, len(x))
-    if len(x) > 20_000:
-        at = np.stack([np.argpartition(x * p + q, pick - 1)[:pick] for p, q in zip(a, b)])
-    elif pick < len(x):
-        at = np.argpartition(x[None] * a[:, None] + b[:, None], pick - 1, axis=1)[:, :pick]
+    if pick < len(x):
+        # The place of a k-mer takes the low bits of its hash, so that the least hashes bring their places along.
+        low = U((1 << len(x).bit_length()) - 1)
+        place, at = np.arange(len(x), dtype=U), []
+        for i in range(0, SKETCHES, step := max(1, (1 << 20) // len(x))):
+            v = x[None] * a[i : i + step, None] + b[i : i + step, None]
+            v = v & ~low | place
+            v.partition(pick - 1, axis=1)
+            at.append((v[:, :pick] & low).astype(np.int64))
+        at = np.concatenate(at)
     else:
         at = np.tile(np.arange(pick), (SKETCHES, 1))
     tuples = x[np.sort(at, axis=1)]
@@ -139,6 +148,9 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     x, y = a[head : n - tail], b[head : m - tail]
     band = int((n + m) * (1 - least) / (1 + least)) + 1
     common = head + tail
+    most = common + min(int(np.isin(x, y).sum()), int(np.isin(y, x).sum())) if len(x) and len(y) else common
+    if most / (n + m - most) < least:
+        return most / (n + m - most)
     if len(x) and len(y):
         where: dict[int, list[int]] = {}
         for j, v in enumerate(y.tolist()):
@@ -163,13 +175,58 @@ def salted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    grams = functools.lru_cache(maxsize=64)(lambda t: kmers(word_hashes(t)))
+    """Pairs with their distance, exact up to twice the greatest of a link."""
+    grams = functools.lru_cache(maxsize=1024)(lambda t: kmers(word_hashes(t)))
     floor = 1 - 2 * (1 - SIMILARITY)
     for part in slices(batches, "text_a"):
         d = [1 - similarity(grams(x), grams(y), floor) for x, y in zip(part["text_a"], part["text_b"])]
         yield pd.DataFrame({"a": part["a"], "b": part["b"], "d": d})
 
 
+def settle(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between the classes of one bucket: its members that failed against the pivot, each with all that can be near."""
+    near = 1 - SIMILARITY + 1e-9
+    group = group.sort_values(["d", "key"], ignore_index=True)
+    d, failed, key = group["d"].to_numpy(), group["failed"].to_numpy(bool), list(group["key"])
+    index = {c: i for i, c in enumerate(group["root"].unique())}
+    parent, own = list(range(len(index))), [index[c] for c in group["root"]]
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    grams = functools.lru_cache(maxsize=None)(lambda i: kmers(word_hashes(group["text"][i])))
+    links = []
+    for f in np.flatnonzero(failed):
+        can = (np.abs(d - d[f]) <= near) & (~failed | (np.arange(len(d)) > f))
+        for i in np.flatnonzero(can):
+            x, y = find(own[f]), find(own[i])
+            if x != y and similarity(grams(f), grams(i), SIMILARITY - 1e-9) >= SIMILARITY - 1e-9:
+                parent[x] = y
+                links.append((key[f], key[i]))
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
+def rooted(df: DataFrame, label: DataFrame, key: str, root: str) -> DataFrame:
+    """``df`` with the class that each ``key`` has so far; a key without links is its own."""
+    found = df.join(label.select(F.col("node").alias(key), F.col("root").alias(root)), key, "left")
+    return found.withColumn(root, F.coalesce(root, key))
+
+
+def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The classes (node, root) once ``links`` (a, b) are added to those of ``label``."""
+    if label is None:
+        return written(components(links), "classes")
+    if links.isEmpty():
+        return label
+    roots = rooted(rooted(links, label, "a", "x"), label, "b", "y").where("x <> y").select("x", "y")
+    new = written(components(roots, "x", "y"), "roots")
+    moved = label.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return written(moved.unionByName(new.join(label.select("node"), "node", "left_anti")), "classes")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id, ``key`` (of the text, null for a null text) and ``class_id``, the least id of its class."""
     near = 1 - SIMILARITY + 1e-9
@@ -193,42 +250,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hit = (F.broadcast(needed) if few else needed).select("key", F.col("id").alias("first_id"))
     texts = written(rows.where("text is not null").join(hit, (rows["key"] == hit["key"]) & rows["id"].eqNullSafe(hit["first_id"])).select(rows["key"], "text").dropDuplicates(["key"]), "texts")
 
-    active, known, label = members.withColumn("d", F.lit(None).cast("double")), None, None
+    active, label, tried = members, None, None
     while True:
-        pivots = active.groupBy("band").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-        star = active.join(pivots.select("band", "b"), "band").select("band", F.col("key").alias("a"), "b").where("a <> b")
-        star = written(star, "star")
-        pairs = star.select("a", "b").distinct()
-        fresh = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
-        found = written(salted(written(fresh, "pairs"), texts).mapInPandas(compare, "a binary, b binary, d double"), "compared")
-        if known is None:
-            known = found
-        else:
-            known = known.unionByName(found)
-        label = components(known.where(F.col("d") <= near).select("a", "b"))
-        judged = star.join(known, ["a", "b"])
-        # Members that failed, and are still in another class than the pivot.
-        own = lambda df, c, out: df.join(label.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-        failed = own(own(judged.where(F.col("d") > near), "a", "ra"), "b", "rb").where("ra <> rb").select("band", "a", "b", "d", "ra")
-        failed = written(failed, "failed")
-        if failed.isEmpty():
+        pivots = active.groupBy("band").agg(F.min("key").alias("b"))
+        star = written(active.join(pivots, "band").select("band", F.col("key").alias("a"), "b"), "star")
+        pairs = star.where("a <> b").select("a", "b").distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = written(salted(pairs, texts).mapInPandas(compare, "a binary, b binary, d double"), "compared")
+        label = merged(label, found.where(F.col("d") <= near))
+        tried = found if tried is None else tried.unionByName(found)
+        # Buckets of more than one class: members that failed, and those that passed and can be near to one that failed.
+        judged = star.join(tried, ["a", "b"], "left").select("band", "a", F.coalesce("d", F.lit(0.0)).alias("d"))
+        judged = rooted(judged, label, "a", "root").withColumn("failed", F.col("d") > near)
+        mixed_ = judged.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min(F.when(F.col("failed"), F.col("d"))).alias("nearest")).where("r <> s")
+        left = judged.join(mixed_.select("band", "nearest"), "band").where(F.col("failed") | (F.col("d") >= F.col("nearest") - near))
+        left = written(left.withColumnRenamed("a", "key").select("band", "key", "d", "failed", "root"), "left")
+        sizes = left.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+        small = left.join(sizes.where(F.col("n") <= LEFTOVER_ROWS).select("band"), "band").join(texts, "key")
+        label = merged(label, written(small.groupBy("band").applyInPandas(settle, "a binary, b binary"), "settled"))
+        large = left.join(sizes.where(F.col("n") > LEFTOVER_ROWS).select("band"), "band")
+        if large.isEmpty():
             break
-        # Those that can still be near to a member that passed are compared with it.
-        passed = own(judged.where(F.col("d") <= near).join(failed.where(F.col("d") <= 2 * near).select("band").distinct(), "band"), "a", "rp").select("band", F.col("a").alias("p"), F.col("d").alias("dp"), "rp")
-        grey = (
-            failed.where(F.col("d") <= 2 * near)
-            .join(passed, "band")
-            .where((F.col("ra") != F.col("rp")) & (F.col("d") - F.col("dp") <= near))
-            .select(F.col("a").alias("x"), F.col("p").alias("y"))
-            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-            .distinct()
-        )
-        grey = written(grey.join(known, ["a", "b"], "left_anti"), "grey")
-        if not grey.isEmpty():
-            known = written(known.unionByName(salted(grey, texts).mapInPandas(compare, "a binary, b binary, d double")), "known")
-        active = failed.select("band", F.col("a").alias("key"))
-
-    label = written(components(known.where(F.col("d") <= near).select("a", "b")).withColumnsRenamed({"node": "key"}), "classes")
+        # Members of a large bucket meet again where they agree in another tuple too, as texts that are near do.
+        again = large.select(F.col("band").alias("old"), "key").join(items.select("key", F.explode("bands").alias("other")), "key").where("old <> other")
+        again = written(again.select(F.xxhash64("old", "other").alias("band"), "key").distinct(), "members")
+        active = again.join(again.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band")
+
+    label = label.withColumnRenamed("node", "key")
     least = label.join(items.select("key", "id"), "key").groupBy("root").agg(F.min("id").alias("class_id"))
     of_key = items.select("key", "id").join(label, "key", "left").join(least, "root", "left").select("key", F.coalesce("class_id", "id").alias("class_id"))
     return rows.select("id", "key").join(of_key, "key", "left").select(F.col("id").alias(id_col), "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
