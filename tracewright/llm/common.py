@@ -29,8 +29,8 @@ def slices(batches: Iterator[pd.DataFrame], text_col: str = "text", chars: int =
     """The same rows in order, in frames of some ``chars`` characters (or one row), so that what a task makes of them stays small."""
     for b in batches:
         first = size = 0
-        for i, n in enumerate(b[text_col].str.len().fillna(0)):
-            size += n
+        for i, text in enumerate(b[text_col]):
+            size += len(text) if text else 0
             if size >= chars:
                 yield b.iloc[first : i + 1]
                 first, size = i + 1, 0

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import remainder, slices, table, written
 from .minhash import mixed
 
-DEPTH, END = 4, 255
+DEPTH, END = 5, 255
 #: Bytes of compressed input that one chunk holds about.
 CHUNK_BYTES = 16 << 20
 U = np.uint64
@@ -88,6 +88,30 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key, np.bincount(of, np.concatenate(counts), minlength=len(key)).astype(np.int64)
 
 
+class Lookup:
+    """Values by 64-bit key: a table by the key's hash, and a search for the few keys that lost their place in it."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order]
+        self.shift = U(64 - min(22, max(4, (4 * len(key)).bit_length())))
+        self.place = np.full(1 << int(U(64) - self.shift), -1, dtype=np.int32)
+        self.place[self.slot(self.key)] = np.arange(len(key), dtype=np.int32)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(U) * U(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        at = self.place[self.slot(key)]
+        lost = np.flatnonzero(self.key[at] != key)
+        if len(lost):
+            found = np.minimum(np.searchsorted(self.key, key[lost]), len(self.key) - 1)
+            if not (self.key[found] == key[lost]).all():
+                raise ValueError("a chunk's rows are not those that were counted: docs must be read again as they were")
+            at[lost] = found
+        return self.value[at]
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
     return gammaln(zeros + 0.5) + gammaln(ones + 0.5) - math.log(math.pi) - gammaln(zeros + ones + 1.0)
@@ -206,11 +230,13 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
                 word, owner = words(flat, start)
                 run = runs(flat, start, depth)
                 by_text = np.repeat(learn, np.diff(np.append(start, len(flat))))
-                for what, key, counted in ((0, np.concatenate([word, END_KEY.repeat(len(part))]), np.concatenate([learn[owner], learn])), (1, run, by_text)):
-                    key, of = np.unique(key, return_inverse=True)
-                    found[what][0].append(key)
-                    found[what][1].append(np.bincount(of, counted, minlength=len(key)))
-                    sizes[c] = sizes.get(c, 0) + len(key)
+                word, by_word = np.concatenate([word, END_KEY.repeat(len(part))]), np.concatenate([learn[owner], learn])
+                for what, all_keys, learned in ((0, word, by_word), (1, run, by_text)):
+                    for times, some in ((1, all_keys[learned]), (0, all_keys[~learned])):
+                        key, n = np.unique(some, return_counts=True)
+                        found[what][0].append(key)
+                        found[what][1].append(n * times)
+                        sizes[c] = sizes.get(c, 0) + len(key)
                 if sizes[c] > 4_000_000:  # keep what is held small: the same key may then come twice from a chunk
                     for what in found:
                         key, n = summed(*found[what])
@@ -249,28 +275,17 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
     values = stats.select("chunk", "word", "key").join(run_values.unionByName(word_values), ["word", "key"]).select("chunk", "word", "key", "value")
 
     def scored(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        table_of = {}
-        for what in (True, False):
-            part = known[known["word"] == what]
-            key, value = part["key"].to_numpy(np.int64), part["value"].to_numpy(np.float64)
-            order = np.argsort(key)
-            table_of[what] = key[order], value[order]
-
-        def look(what: bool, key: np.ndarray) -> np.ndarray:
-            keys, value = table_of[what]
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            if not (keys[at] == key).all():
-                raise ValueError("a chunk's rows are not those that were counted: docs must be read again as they were")
-            return value[at]
-
+        is_word = known["word"].to_numpy(bool)
+        key, value = known["key"].to_numpy(np.int64), known["value"].to_numpy(np.float64)
+        counted, priced = Lookup(key[is_word], value[is_word]), Lookup(key[~is_word], value[~is_word])
         out = []
         for b in slices([texts], chars=1 << 20):
             flat, start = joined(list(b["text"]))
             word, owner = words(flat, start)
-            c, c_end = look(True, word), look(True, END_KEY)[0]
+            c, c_end = counted(word), counted(END_KEY)[0]
             log = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
             n, size = len(b), np.diff(np.append(start, len(flat)))
-            total = np.add.reduceat(look(False, runs(flat, start, depth)), start)
+            total = np.add.reduceat(priced(runs(flat, start, depth)), start)
             out.append(
                 pd.DataFrame({
                     "id": b["id"].to_numpy(), "n_tokens": np.bincount(owner, minlength=n) + 1, "n_known": np.bincount(owner, c > 0, minlength=n).astype(np.int64) + int(c_end > 0),

@@ -111,7 +111,8 @@ def frequencies(docs: DataFrame, wanted: frozenset[str], text_col: str = "text")
             for t in b["text"]:
                 found.update(wanted.intersection(terms(t or "")))
             found[""] += len(b)
-        yield pd.DataFrame({"term": list(found), "n": list(found.values())})
+        if found:
+            yield pd.DataFrame({"term": list(found), "n": list(found.values())})
 
     rows = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most one for each wanted term
     df = {r["term"]: r["n"] for r in rows}
@@ -125,7 +126,8 @@ def own(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
 
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([matcher.best(t) for t in texts], columns=["license", "score"])
+            best = [matcher.best(t) for t in texts]
+            yield pd.DataFrame({"license": pd.Series([x for x, _ in best], dtype=object), "score": pd.Series([s for _, s in best], dtype=float)})
 
     found = F.pandas_udf(scan, "license string, score double")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias(id_col), F.col(path_col).alias("path"), found(text_col).alias("own"))

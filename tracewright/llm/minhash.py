@@ -289,10 +289,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the row with the class's least id (one of them, if rows repeat)."""
     found = written(classes(docs), "found")
-    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("id"), F.col("key").alias("k")).distinct(), "gone")
+    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS
     kept = docs.withColumn("__key", F.unhex(F.md5("text")))
-    kept = kept.join(F.broadcast(gone) if few else gone, kept["doc_id"].eqNullSafe(F.col("id")) & kept["__key"].eqNullSafe(F.col("k")), "left_anti")
+    kept = kept.join(F.broadcast(gone) if few else gone, kept["doc_id"].eqNullSafe(F.col("__gone_id")) & kept["__key"].eqNullSafe(F.col("__gone_key")), "left_anti")
     again = found.where("key is not null").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
     if not again:  # rows that repeat an id and a text: one of them stays
         null_text = kept.where("__key is null")
