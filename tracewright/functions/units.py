@@ -65,7 +65,7 @@ def mil_text(raw: Column) -> Column:
 
 def fixed(value: Column, places: int) -> Column:
     """The double's exact value to so many places, ties to even, without grouping marks."""
-    return F.format_number(value.cast("double"), "0." + "0" * places if places else "0")
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * places if places else "0"))
 
 
 def thousandths(text: Column) -> Column:
