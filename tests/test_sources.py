@@ -108,3 +108,39 @@ def test_bom_records_and_encodings(spark, tmp_path):
     found = sources.records(sources.documents(spark, str(tmp_path)))
     assert {r["record_no"]: (r["kind"], r["t"], r["n"]) for r in found.select("record_no", "kind", params.first(F.col("params"), "TITLE").alias("t"), params.first(F.col("params"), "NOTE").alias("n")).collect()} == {1: ("BOM_HEADER", "µ", None), 2: ("CatalogItem", None, "one\ntwo"), 3: ("CatalogItem", None, None)}
     assert [(r["comment"], r["footprint"], r["component_kind"]) for r in sources.bom_items(found).orderBy("record_no").collect()] == [("10k", "R0402", "Standard"), ("c", None, None)]
+
+
+def primitive(kind: int, *blocks: bytes) -> bytes:
+    return bytes([kind]) + b"".join(struct.pack("<I", len(b)) + b for b in blocks)
+
+
+def test_board_primitives(spark):
+    from tracewright.sources import board
+
+    pre = lambda layer, flags, net, comp: struct.pack("<BHHHHI", layer, flags, net, 0xFFFF, comp, 0xFFFFFFFF)
+    arc = pre(1, 0x04, 0, 0xFFFF) + struct.pack("<iiiddi", -5, 7, 100, 22.5, -0.1, 10)
+    pad_main = pre(74, 0x00, 0xFFFF, 3) + struct.pack("<9i3Bd?", 1, -2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 270.0, True)
+    track = pre(32, 0x204, 4, 0) + struct.pack("<5i", 1, 2, 3, 4, 5)
+    data = primitive(1, arc) + primitive(2, b"\x02A1", b"", b"\x00", b"", pad_main, b"") + primitive(4, track) + primitive(4, track + struct.pack("<HB", 9, 0)) + primitive(6, pre(1, 4, 1, 1) + struct.pack("<4id", 1, 2, 3, 4, 1e-300)) + primitive(3, pre(1, 4, 1, 1) + struct.pack("<4iBB", 1, 2, 3, 4, 1, 32)) + b"\x04\xff"
+    records = board.raw_records(spark.createDataFrame([("p", "Prims", bytearray(data))], "path string, storage string, data binary"))
+    assert [r["kind"] for r in records.orderBy("ord").collect()] == [1, 2, 4, 4, 6, 3]
+    a = board.arcs(records).first()
+    assert (a["x"], a["y"], a["radius"], a["start_angle"], a["end_angle"], a["width"], a["net_index"], a["component_index"], a["is_locked"]) == (-5, 7, 100, 22.5, -0.1, 10, 1, -1, False)
+    p = board.pads(records).first()
+    assert (p["designator"], p["x"], p["y"], p["hole_size"], p["shape_bottom"], p["rotation"], p["is_plated"], p["net_index"], p["component_index"], p["is_locked"]) == ("A1", 1, -2, 9, 3, 270.0, True, 0, 3, True)
+    assert [(t["net_index"], t["is_keepout"], t["width"]) for t in board.tracks(records).orderBy("ord").collect()] == [(5, True, 5), (9, True, 5)]
+    assert board.fills(records).first()["rotation"] == 1e-300 and board.vias(records).first()["end_layer"] == 32
+    nets = spark.createDataFrame([("p", 0, "GND"), ("p", 4, "VCC")], "path string, ord int, name string")
+    assert board.with_names(board.arcs(records), nets).first()["net"] == "GND"
+
+
+def test_typed_records(spark):
+    from tracewright.functions import schema
+    from tracewright.sources import board
+
+    payload = b"|PATTERN=R0402|X=100mil|Y=-1mil|COMPONENTKIND=0|COMPONENTKINDVERSION2=5|SOURCEDESIGNATOR=R1|UNKNOWN=\xb5|\x00junk"
+    rows = board.param_records(spark.createDataFrame([("p", "Components6", 0, bytearray(payload))], "path string, storage string, ord int, payload binary"))
+    r = schema.typed(rows, "component").first()
+    assert (r["name"], r["x"], r["y"], r["component_kind"], r["source_designator"], r["rotation"], [tuple(e)[:2] for e in r["extra"]]) == ("R0402", 1_000_000, -10_000, 5, "R1", 0.0, [("UNKNOWN", "µ")])
+    text = rows.select(schema.record_text(F.col("params")).alias("t")).first()["t"]
+    assert text.startswith("|PATTERN=R0402|X=100mil") and text.endswith("|UNKNOWN=µ")
