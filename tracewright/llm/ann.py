@@ -69,7 +69,10 @@ def nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: i
         alive = (about - slack <= limit[:, None]) & ~own
         for i in range(len(upper)):
             left = np.flatnonzero(alive[i])
-            d = np.sqrt(((c[left] - q[start + i]) ** 2).sum(1))
+            d = np.zeros(len(left))
+            for part in ((c[left] - q[start + i]) ** 2).T:  # component after component, as any engine would add them
+                d += part
+            d = np.sqrt(d)
             best = np.lexsort((cid[left], d))[:k]
             yield start + i, left[best], d[best]
 
@@ -121,3 +124,16 @@ def search(candidates: DataFrame, queries: DataFrame, id_col: str = "vec_id", ve
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (c.e[i] - q.e[i]) * (c.e[i] - q.e[i])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""

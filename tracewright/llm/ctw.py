@@ -25,10 +25,12 @@ finds a value missing fails rather than guess.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,7 +224,7 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
         """The distinct words and byte runs of each chunk, with their counts in training rows."""
         held: dict[int, dict[int, tuple[list, list]]] = {}
         sizes: dict[int, int] = {}
-        for b in slices(batches, chars=1 << 21):
+        for b in slices(batches):
             for c, part in b.groupby("chunk"):
                 found = held.setdefault(c, {0: ([], []), 1: ([], [])})
                 flat, start = joined(list(part["text"]))
@@ -237,7 +239,7 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
                         found[what][0].append(key)
                         found[what][1].append(n * times)
                         sizes[c] = sizes.get(c, 0) + len(key)
-                if sizes[c] > 4_000_000:  # keep what is held small: the same key may then come twice from a chunk
+                if sizes[c] > 1_500_000:  # keep what is held small: the same key may then come twice from a chunk
                     for what in found:
                         key, n = summed(*found[what])
                         found[what] = ([key], [n])
@@ -245,8 +247,8 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
         for c, found in held.items():
             yield from emit(c, found)
 
-    stats = written(rows.mapInPandas(count, "chunk int, word boolean, key long, n long"), "stats")
-    totals = written(stats.groupBy("word", "key").agg(F.sum("n").alias("n")), "totals")
+    counted = rows.mapInPandas(count, "chunk int, word boolean, key long, n long")
+    totals = written(counted.groupBy("word", "key").agg(F.sum("n").alias("n"), F.collect_set("chunk").alias("chunks")), "totals")
     size = totals.where("word and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = size["n"], size["v"]
 
@@ -271,31 +273,39 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
         return pd.DataFrame({"word": False, "key": key, "value": log10_of(key, levels(key[seen], n[seen], depth), top)})
 
     run_values = by_subtree.groupBy("subtree").applyInPandas(down, "word boolean, key long, value double")
-    word_values = totals.where("word").select("word", "key", F.col("n").cast("double").alias("value"))
-    values = stats.select("chunk", "word", "key").join(run_values.unionByName(word_values), ["word", "key"]).select("chunk", "word", "key", "value")
+    word_values = totals.where("word").select("word", "key", F.col("n").cast("double").alias("value"), "chunks")
+    run_values = run_values.join(totals.where("not word").select("key", "chunks"), "key")
+    values = run_values.select("word", "key", "value", "chunks").unionByName(word_values).select(F.explode("chunks").alias("chunk"), "word", "key", "value")
 
-    def scored(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Texts travel compressed, some million characters together."""
+        for b in slices(batches):
+            for c, part in b.groupby("chunk"):
+                yield pd.DataFrame({"chunk": np.int32(c), "ids": [part["id"].tolist()], "texts": [zstandard.compress(pickle.dumps(part["text"].tolist()))]})
+
+    def scored(packed: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         is_word = known["word"].to_numpy(bool)
         key, value = known["key"].to_numpy(np.int64), known["value"].to_numpy(np.float64)
         counted, priced = Lookup(key[is_word], value[is_word]), Lookup(key[~is_word], value[~is_word])
         out = []
-        for b in slices([texts], chars=1 << 20):
-            flat, start = joined(list(b["text"]))
+        for ids, blob in zip(packed["ids"], packed["texts"]):
+            flat, start = joined(pickle.loads(zstandard.decompress(blob)))
             word, owner = words(flat, start)
             c, c_end = counted(word), counted(END_KEY)[0]
             log = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
-            n, size = len(b), np.diff(np.append(start, len(flat)))
+            n, size = len(ids), np.diff(np.append(start, len(flat)))
             total = np.add.reduceat(priced(runs(flat, start, depth)), start)
             out.append(
                 pd.DataFrame({
-                    "id": b["id"].to_numpy(), "n_tokens": np.bincount(owner, minlength=n) + 1, "n_known": np.bincount(owner, c > 0, minlength=n).astype(np.int64) + int(c_end > 0),
+                    "id": pd.Series(list(ids), dtype=object), "n_tokens": np.bincount(owner, minlength=n) + 1, "n_known": np.bincount(owner, c > 0, minlength=n).astype(np.int64) + int(c_end > 0),
                     "train_tokens": tokens, "base_score": np.bincount(owner, log(c), minlength=n) + log(c_end), "score": total, "bits_per_byte": -total / math.log10(2) / size,
                 })
             )
         return pd.concat(out)
 
     out = f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    found = rows.select("chunk", "id", "text").groupBy("chunk").cogroup(values.groupBy("chunk")).applyInPandas(scored, out)
+    packed = rows.select("chunk", "id", "text").mapInPandas(pack, f"chunk int, ids array<{kind}>, texts binary")
+    found = packed.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInPandas(scored, out)
     return found.withColumnRenamed("id", id_col)
 
 

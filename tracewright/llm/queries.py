@@ -17,4 +17,4 @@ QUERIES = {
     "op10_minhash": minhash.query,
 }
 
-ORACLES: dict[str, str] = {"op1_preference_format": chat.SQL}
+ORACLES: dict[str, str] = {"op1_preference_format": chat.SQL, "op7_ann": ann.SQL}
