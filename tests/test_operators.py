@@ -267,3 +267,79 @@ def test_document_paths(spark):
     each = documents.each(df, "d", "$.components", keep=("i",))
     found = each.select("i", "pos", documents.at(F.col("value"), "$.d").alias("n"), documents.at(F.col("value"), "$.k", "int").alias("k")).where("k > 5").collect()
     assert [tuple(r) for r in found] == [(1, 1, "R2", 9)]
+
+
+# -- further functions
+
+
+def test_overline_runs(spark):
+    for value, want in [("R\\E\\SET", [("RE", True), ("SET", False)]), ("abc", [("abc", False)]), ("\\a\\\\b", [("a", True), ("b", False)]), ("", [])]:
+        assert [tuple(x) for x in one(spark, text.overline_runs(F.lit(value)))] == want
+
+
+def test_wrapping(spark):
+    assert one(spark, text.wrapped(F.lit("aa bb cc\n\ndddddddd e"), F.lit(10.0), F.lit(36.0))) == ["aa bb", "cc", "", "dddddddd", "e"]
+
+
+def test_guids_and_exponents(spark):
+    guid = "{00112233-4455-6677-8899-AABBCCDDEEFF}"
+    data = one(spark, text.guid_bytes(F.lit(guid)))
+    assert data.hex() == "33221100554477668899aabbccddeeff" and one(spark, text.guid_text(F.lit(data))) == guid
+    assert one(spark, text.guid_bytes(F.lit("{12}"))) is None
+    assert one(spark, text.exponent_text(F.lit(5.3844e-11))) == "5.384400E-011" and one(spark, text.exponent_text(F.lit(0.0))) == "0.000000E+000"
+
+
+def test_two_section_keys(spark):
+    name = "a/b:" + "x" * 40
+    assert one(spark, text.section_key(F.lit(name))) == "a_b_" + "x" * 27 and one(spark, text.footprint_key(F.lit(name))) == "a_b:" + "x" * 27
+
+
+def test_rule_values_in_mm(spark):
+    for key, value, want in [("GAP", "10mil", "0.254mm"), ("GAP", "x mil", "x mil"), ("ObjectClearances", "a:b:100000;c;d:x", "a:b:0.254mm;c;d:x"), ("GAP", "7", "7")]:
+        assert one(spark, units.rule_value_in_mm(F.lit(key), F.lit(value))) == want
+
+
+def test_indirection_and_via_names(spark):
+    from tracewright.functions import layers
+
+    p = params.parse(F.lit("|Comment=10k|comment=x"))
+    assert [one(spark, text.indirect(F.lit(v), p)) for v in ("=COMMENT", "=Other", "plain")] == ["10k", "Other", "plain"]
+    assert [one(spark, layers.via_structure(F.lit(v))) for v in (0, 12, 40)] == ["none", "VII", "unknown (40)"]
+
+
+@pytest.mark.parametrize(
+    ("points", "offset", "want"),
+    [
+        ([(0, 0), (10, 0), (10, 10), (0, 10)], 2, [(-2, -2), (12, -2), (12, 12), (-2, 12)]),
+        ([(0, 0), (0, 10), (10, 10), (10, 0)], 2, [(-2, -2), (-2, 12), (12, 12), (12, -2)]),
+        ([(0, 0), (10, 0), (10, 10), (0, 10)], -2, [(2, 2), (8, 2), (8, 8), (2, 8)]),
+        ([(0, 0), (10, 0), (10, 10), (0, 10)], -6, None),
+        ([(0, 0), (10, 0)], 2, None),
+        ([(0, 0), (5, 0), (10, 0)], 2, None),
+        ([(0, 0), (20, 0), (20, 10), (10, 10), (10, 20), (0, 20)], 2, [(-2, -2), (22, -2), (22, 12), (12, 12), (12, 22), (-2, 22)]),
+    ],
+)
+def test_polygon_offset(spark, points, offset, want):
+    df = spark.createDataFrame([([{"x": x, "y": y} for x, y in points],)], "p array<struct<x:int,y:int>>")
+    got = df.select(spatial.offset_polygon(F.col("p"), F.lit(offset)).alias("o")).first()["o"]
+    assert got == want if want is None else [(p["x"], p["y"]) for p in got] == want
+
+
+def test_further_netlist_formats(spark):
+    comps = spark.createDataFrame([("d", 0, "R 1", None, "0402", None, None)], "doc_id string, ord int, designator string, value string, footprint string, library_reference string, description string")
+    nets = spark.createDataFrame([("d", "VCC", [("R 1", "2")]), ("d", "GND", [("R 1", "1")])], "doc_id string, net string, members array<struct<designator:string,pad:string>>")
+    out = netlist.kicad(comps, nets).first()["text"]
+    assert out == '(export (version D)\n  (components\n    (comp (ref "R 1")\n      (value "")\n      (footprint 0402))\n  )\n  (nets\n    (net (code 1) (name GND)\n      (node (ref "R 1") (pin 1))\n    )\n    (net (code 2) (name VCC)\n      (node (ref "R 1") (pin 2))\n    )\n  )\n)\n'
+    assert '"nets":[{"name":"GND"' in netlist.as_json(comps, nets).first()["json"]
+
+
+def test_templates_files_and_zip(spark):
+    vias = spark.createDataFrame([(1, None, None), (2, "L", "T"), (3, "L", "X"), (4, "L", "X")], "via int, library_id string, template_id string")
+    links = spark.createDataFrame([(4, "L", "T")], "via int, library_id string, template_id string")
+    got = resolve.with_template(vias, links, spark.createDataFrame([("L", "T", "v50")], "library_id string, template_id string, name string"))
+    assert {r["via"]: (r["state"], r["template"]) for r in got.collect()} == {1: ("none", None), 2: ("resolved", "v50"), 3: ("unresolved", None), 4: ("resolved", "v50")}
+    files = spark.createDataFrame([("lib/A.PcbDoc", 0), ("lib/a.pcbdoc", 0), ("old/A.PcbDoc", 1)], "file string, root_ord int")
+    refs = spark.createDataFrame([(1, "x\\A.PcbDoc"), (2, "old/A.PcbDoc"), (3, "none")], "ref int, path string")
+    assert {r["ref"]: r["file"] for r in resolve.best_file(refs, files).collect()} == {1: "lib/A.PcbDoc", 2: "lib/A.PcbDoc", 3: None}
+    a, b = spark.createDataFrame([("d", 5, "p"), ("d", 1, "q")], "doc_id string, i int, x string"), spark.createDataFrame([("d", 9, "r"), ("d", 2, "s")], "doc_id string, j int, y string")
+    assert {r["x"]: r["y"] for r in resolve.zipped(a, b, ["doc_id"], ["i"], ["j"]).collect()} == {"q": "s", "p": "r"}

@@ -19,3 +19,12 @@ def kind_of(layer: Column) -> Column:
 def normal_name(name: Column) -> Column:
     """A layer's name without spaces and hyphens, in capitals, as names are compared."""
     return F.upper(F.translate(name, " -", ""))
+
+
+#: IPC-4761 names of via structures by their number.
+VIA_STRUCTURES = ("none", "I-a", "I-b", "II-a", "II-b", "III-a", "III-b", "IV-a", "IV-b", "V", "VI-a", "VI-b", "VII")
+
+
+def via_structure(number: Column) -> Column:
+    known = F.get(F.array(*map(F.lit, VIA_STRUCTURES)), number.cast("int"))
+    return F.coalesce(known, F.concat(F.lit("unknown ("), number.cast("string"), F.lit(")")))

@@ -27,9 +27,9 @@ def plain_tsv(text: Column) -> Column:
 
 
 def quote_sexpr(text: Column) -> Column:
-    """In quotes with backslashes if it is empty or has more than letters, digits and ``_.+-/``."""
+    """In quotes, with backslashes, if it is empty or has white space, a parenthesis, a quote or a backslash."""
     inner = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.when((text == "") | text.rlike(r"[^A-Za-z0-9_.+\-/]"), F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(text)
+    return F.when((text == "") | text.rlike(r'[\s()"\\]'), F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(text)
 
 
 def natural_key(text: Column) -> tuple[Column, Column]:
@@ -43,3 +43,73 @@ def safe_path(path: Column) -> Column:
     """A relative path that stays below its root: backslashes become slashes, ``..`` becomes UNSAFE, empty parts and ``.`` go."""
     parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: (p != "") & (p != "."))
     return F.array_join(F.transform(parts, lambda p: F.when(p == "..", "UNSAFE").otherwise(p)), "/")
+
+
+def overline_runs(text: Column) -> Column:
+    """array<struct<text,overline>>: a character before a backslash is overlined; neighbours of one kind are one run."""
+    marked = F.regexp_extract_all(text, F.lit(r"([^\\]\\?)"), F.lit(1))
+    none = F.array().cast("array<struct<text:string,overline:boolean>>")
+
+    def add(runs: Column, piece: Column) -> Column:
+        char, over = F.substring(piece, 1, 1), F.length(piece) == 2
+        last = F.get(runs, F.size(runs) - 1)
+        longer = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(F.concat(last["text"], char).alias("text"), over.alias("overline"))))
+        return F.when((F.size(runs) > 0) & (last["overline"] == over), longer).otherwise(F.concat(runs, F.array(F.struct(char.alias("text"), over.alias("overline")))))
+
+    return F.aggregate(marked, none, add)
+
+
+def wrapped(text: Column, size: Column, width: Column) -> Column:
+    """Lines of words, filled greedily: a character takes 0.6 of the size. Empty paragraphs stay as empty lines."""
+
+    def fill(paragraph: Column) -> Column:
+        words = F.filter(F.split(paragraph, r"\s+"), lambda w: w != "")
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+
+        def add(acc: Column, word: Column) -> Column:
+            full = ((F.length(acc["line"]) + 1 + F.length(word)) * size * 0.6 > width) & (acc["line"] != "")
+            line = F.when(full | (acc["line"] == ""), word).otherwise(F.concat(acc["line"], F.lit(" "), word))
+            return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["line"]))).otherwise(acc["done"]).alias("done"), line.alias("line"))
+
+        end = lambda acc: F.when(acc["line"] != "", F.concat(acc["done"], F.array(acc["line"]))).otherwise(acc["done"])
+        return F.when(paragraph == "", F.array(F.lit(""))).otherwise(F.aggregate(words, start, add, end))
+
+    return F.flatten(F.transform(F.split(text, "[\r\n]"), fill))
+
+
+def section_key(name: Column) -> Column:
+    """A schematic library's storage name: ten characters become ``_``, then at most 31 characters."""
+    return F.substring(F.regexp_replace(name, r'[/\\:!*?"<>|]', "_"), 1, 31)
+
+
+def footprint_key(name: Column) -> Column:
+    """A footprint library's storage name: at most 31 bytes (of ASCII names), slashes become ``_``."""
+    return F.replace(F.substring(name, 1, 31), F.lit("/"), F.lit("_"))
+
+
+def guid_text(data: Column) -> Column:
+    """``{8-4-4-4-12}`` from 16 bytes, of which the first three groups are little-endian."""
+    h = lambda *places: F.concat(*(F.hex(F.substring(data, F.lit(i + 1), F.lit(1))) for i in places))
+    groups = [h(3, 2, 1, 0), h(5, 4), h(7, 6), h(8, 9), h(10, 11, 12, 13, 14, 15)]
+    return F.when(F.octet_length(data) == 16, F.concat(F.lit("{"), F.concat_ws("-", *groups), F.lit("}")))
+
+
+def guid_bytes(text: Column) -> Column:
+    """The 16 bytes of a GUID's text, with or without braces; null if it is none."""
+    h = F.upper(F.regexp_replace(F.trim(text), r"[{}-]", ""))
+    pair = lambda i: F.substring(h, 2 * i + 1, 2)
+    order = [3, 2, 1, 0, 5, 4, 7, 6, *range(8, 16)]
+    return F.when(h.rlike("^[0-9A-F]{32}$"), F.unhex(F.concat(*(pair(i) for i in order))))
+
+
+def exponent_text(value: Column) -> Column:
+    """``5.384400E-011``: six decimals, a sign and three digits of exponent."""
+    shown = F.format_string("%.6E", value.cast("double"))
+    return F.concat(F.regexp_extract(shown, "^(.*E[+-])", 1), F.lpad(F.regexp_extract(shown, "([0-9]+)$", 1), 3, "0"))
+
+
+def indirect(text: Column, parameters: Column) -> Column:
+    """``=Name`` becomes the first parameter of that name in any case, or the bare name."""
+    name = F.substring(text, F.lit(2), F.length(text))
+    found = F.get(F.filter(parameters, lambda p: F.lower(p["name"]) == F.lower(name)), F.lit(0))["value"]
+    return F.when(text.startswith("="), F.coalesce(found, name)).otherwise(text)

@@ -73,3 +73,20 @@ def thousandths(text: Column) -> Column:
     t = F.trim(text)
     exact = F.round(t.try_cast("decimal(38,18)"), 3) * 1000
     return F.when(t.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), exact.cast("int"))
+
+
+def mm_text(raw: Column) -> Column:
+    """Millimetres with up to four decimals, and the unit."""
+    return F.concat(trimmed_decimal(fixed(to_mm(raw), 4)), F.lit("mm"))
+
+
+def rule_value_in_mm(key: Column, value: Column) -> Column:
+    """A rule's value with lengths in millimetres: ``...mil`` as a whole, or the raw numbers of an OBJECTCLEARANCES list."""
+
+    def pair(p: Column) -> Column:
+        name, raw = F.regexp_extract(p, "^(.*):([^:]*)$", 1), F.trim(F.regexp_extract(p, "^(.*):([^:]*)$", 2)).try_cast("int")
+        return F.when(p.contains(":") & raw.isNotNull(), F.concat(name, F.lit(":"), mm_text(raw))).otherwise(p)
+
+    pairs = F.array_join(F.transform(F.split(value, ";"), pair), ";")
+    number = F.trim(F.regexp_extract(value, "^(.*)mil$", 1)).try_cast("double")
+    return F.when(F.upper(key) == "OBJECTCLEARANCES", pairs).when(value.endswith("mil") & number.isNotNull(), mm_text(from_mils(number))).otherwise(value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_tsv, quote_sexpr
 from .ordering import global_rank
 from .resolve import first_by
 
@@ -70,6 +71,24 @@ def protel(components: DataFrame, nets: DataFrame) -> DataFrame:
 
 def tsv_rows(nets: DataFrame) -> DataFrame:
     """Net, designator and pad of each connection, safe for a tab-separated file."""
-    from ..functions.text import plain_tsv
-
     return nets.select("doc_id", "net", F.explode("members").alias("m")).select("doc_id", *(plain_tsv(F.col(c)).alias(n) for c, n in (("net", "net"), ("m.designator", "designator"), ("m.pad", "pad"))))
+
+
+def kicad(components: DataFrame, nets: DataFrame) -> DataFrame:
+    """One S-expression for each document: components, then nets numbered from 1 in the order of their names."""
+    q = lambda c: quote_sexpr(F.coalesce(c, F.lit("")))
+    part = F.concat(F.lit("    (comp (ref "), q(F.col("designator")), F.lit(")\n      (value "), q(F.col("value")), F.lit(")\n      (footprint "), q(F.col("footprint")), F.lit("))\n"))
+    parts = components.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", part.alias("t")))), lambda x: x["t"]), "").alias("parts"))
+    pins = F.array_join(F.transform("members", lambda m: F.concat(F.lit("      (node (ref "), q(m["designator"]), F.lit(") (pin "), q(m["pad"]), F.lit("))\n"))), "")
+    sorted_nets = F.array_sort(F.collect_list(F.struct("net", F.concat(F.lit(") (name "), q(F.col("net")), F.lit(")\n"), pins, F.lit("    )\n")).alias("t"))))
+    listed = nets.groupBy("doc_id").agg(F.array_join(F.transform(sorted_nets, lambda x, i: F.concat(F.lit("    (net (code "), (i + 1).cast("string"), x["t"])), "").alias("nets"))
+    text = F.concat(F.lit("(export (version D)\n  (components\n"), F.coalesce("parts", F.lit("")), F.lit("  )\n  (nets\n"), F.coalesce("nets", F.lit("")), F.lit("  )\n)\n"))
+    return parts.join(listed, "doc_id", "full_outer").select("doc_id", text.alias("text"))
+
+
+def as_json(components: DataFrame, nets: DataFrame) -> DataFrame:
+    """One JSON object for each document, without the components' parameters."""
+    part = F.struct("designator", "footprint", "value", "library_reference", "description")
+    parts = components.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", part.alias("c")))), lambda x: x["c"]).alias("components"))
+    listed = nets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("net").alias("name"), F.col("members").alias("connections")))).alias("nets"))
+    return parts.join(listed, "doc_id", "full_outer").select("doc_id", F.to_json(F.struct("components", "nets"), {"ignoreNullFields": "false"}).alias("json"))

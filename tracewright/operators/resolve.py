@@ -45,3 +45,37 @@ def live_designator(components: DataFrame, texts: DataFrame) -> DataFrame:
     shown = texts.where(F.col("is_designator") & (t != "") & ~t.startswith(".")).groupBy("doc_id", F.col("component_index").alias("ord")).agg(F.min_by(t, F.col("ord")).alias("__shown"))
     source = F.when(F.col("source_designator") != "", F.col("source_designator"))
     return components.join(shown, ["doc_id", "ord"], "left").withColumn("designator", F.coalesce("__shown", source, "name")).drop("__shown")
+
+
+def with_template(vias: DataFrame, links: DataFrame, templates: DataFrame) -> DataFrame:
+    """``vias`` (via, library_id, template_id) with ``template`` and ``state``: by the link table first, else by their own ids.
+
+    ``links``: (via, library_id, template_id); ``templates``: (library_id, template_id, name).
+    """
+    side = links.select("via", F.col("library_id").alias("__l"), F.col("template_id").alias("__t"))
+    found = vias.join(side, "via", "left").withColumn("library_id", F.coalesce("__l", "library_id")).withColumn("template_id", F.coalesce("__t", "template_id")).drop("__l", "__t")
+    named = found.join(templates.select("library_id", "template_id", F.col("name").alias("template")), ["library_id", "template_id"], "left")
+    return named.withColumn("state", F.when(F.col("template_id").isNull(), "none").when(F.col("template").isNull(), "unresolved").otherwise("resolved"))
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
+    """The n-th row of one side with the n-th of the other, within the keys."""
+    nth = lambda df, order: df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return nth(left, left_order).join(nth(right, right_order), [*keys, "__n"]).drop("__n")
+
+
+def by_name(rows: DataFrame, name: str, wanted: str, order: str) -> DataFrame:
+    """The first row of that name in any case."""
+    return rows.where(F.lower(name) == wanted.lower()).orderBy(order).limit(1)
+
+
+def best_file(references: DataFrame, files: DataFrame) -> DataFrame:
+    """``references`` (ref, path) with ``file``: a file of that very path, else of its base name, else of the base name in any case; earlier roots first.
+
+    ``files``: (file, root_ord).
+    """
+    base = lambda c: F.regexp_extract(F.replace(F.col(c), F.lit("\\"), F.lit("/")), "([^/]*)$", 1)
+    hits = references.withColumn("__k", F.lower(base("path"))).join(files.withColumn("__k", F.lower(base("file"))), "__k")
+    rank = F.when(F.col("file") == F.col("path"), 0).when(base("file") == base("path"), 1).otherwise(2)
+    best = hits.groupBy("ref").agg(F.min_by("file", F.struct("root_ord", rank.alias("r"), "file")).alias("file"))
+    return references.join(best, "ref", "left")

@@ -77,3 +77,42 @@ def doubled_area(points: Column) -> Column:
 def first_in_window(rows: DataFrame, partition: Sequence[str], order: Sequence[str], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each partition."""
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*partition).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
+
+
+def offset_polygon(points: Column, offset: Column) -> Column:
+    """A polygon (array<struct<x,y>>) grown by ``offset`` raw units, or shrunk if it is negative, with mitred corners.
+
+    Null for fewer than three corners, for no area, and where shrinking turns an edge round. Each corner moves along the
+    sum of its edges' outward normals, divided by one plus their product, which meets both moved edges.
+    """
+    n = F.size(points)
+    number = lambda c: c.cast("double")
+    at = lambda i: F.get(points, F.pmod(i, n))
+    places = F.sequence(F.lit(0), n - 1)
+    out = F.when(doubled_area(points) > 0, 1.0).otherwise(-1.0)
+
+    def normal(i: Column) -> Column:
+        dx, dy = number(at(i + 1)["x"]) - number(at(i)["x"]), number(at(i + 1)["y"]) - number(at(i)["y"])
+        size = F.sqrt(dx * dx + dy * dy)
+        return F.when(size < 1e-6, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))).otherwise(F.struct((out * dy / size).alias("x"), (-out * dx / size).alias("y")))
+
+    normals = F.transform(places, normal)
+
+    def corner(i: Column) -> Column:
+        a, b, p = F.get(normals, F.pmod(i - 1, n)), F.get(normals, i), at(i)
+        scale = offset.cast("double") / F.when(a["x"] * b["x"] + a["y"] * b["y"] > -1 + 1e-12, 1 + a["x"] * b["x"] + a["y"] * b["y"]).otherwise(2.0)
+        return F.struct(clamp_int(F.round(number(p["x"]) + scale * (a["x"] + b["x"]))).alias("x"), clamp_int(F.round(number(p["y"]) + scale * (a["y"] + b["y"]))).alias("y"))
+
+    moved = F.transform(places, corner)
+    new = lambda i: F.get(moved, F.pmod(i, n))
+    ahead = lambda i: (number(at(i + 1)["x"]) - number(at(i)["x"])) * (number(new(i + 1)["x"]) - number(new(i)["x"])) + (number(at(i + 1)["y"]) - number(at(i)["y"])) * (number(new(i + 1)["y"]) - number(new(i)["y"]))
+    turned = (offset < 0) & F.exists(places, lambda i: ahead(i) < 0)
+    return F.when((n >= 3) & (doubled_area(points) != 0) & ~turned, moved)
+
+
+def fit(box: DataFrame, width: float, height: float, margin: float) -> DataFrame:
+    """Scale and shifts (scale, dx, dy) that place each box (x_min, y_min, x_max, y_max) in the middle of a canvas, y upwards."""
+    w, h = F.greatest(F.col("x_max").cast("bigint") - F.col("x_min"), F.lit(1)), F.greatest(F.col("y_max").cast("bigint") - F.col("y_min"), F.lit(1))
+    scaled = box.withColumn("scale", F.least((width - 2 * margin) / w, (height - 2 * margin) / h))
+    middle = lambda a, b: (F.col(a).cast("double") + F.col(b)) / 2
+    return scaled.withColumn("dx", width / 2 - F.col("scale") * middle("x_min", "x_max")).withColumn("dy", height / 2 + F.col("scale") * middle("y_min", "y_max"))
