@@ -40,6 +40,8 @@ from .minhash import mixed
 DEPTH, END = 5, 255
 #: Bytes of compressed input that one chunk holds about.
 CHUNK_BYTES = 16 << 20
+#: Characters that a task works on at a time, and keys with counts that it holds before it adds up equal ones.
+SLICE_CHARS, HELD_KEYS = 1 << 19, 1_000_000
 U = np.uint64
 LOG_HALF = math.log(0.5)
 END_KEY = np.array([-1], dtype=np.int64)  # the end token's; a word's hash is even
@@ -224,7 +226,7 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
         """The distinct words and byte runs of each chunk, with their counts in training rows."""
         held: dict[int, dict[int, tuple[list, list]]] = {}
         sizes: dict[int, int] = {}
-        for b in slices(batches):
+        for b in slices(batches, chars=SLICE_CHARS):
             for c, part in b.groupby("chunk"):
                 found = held.setdefault(c, {0: ([], []), 1: ([], [])})
                 flat, start = joined(list(part["text"]))
@@ -239,7 +241,7 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
                         found[what][0].append(key)
                         found[what][1].append(n * times)
                         sizes[c] = sizes.get(c, 0) + len(key)
-                if sizes[c] > 1_500_000:  # keep what is held small: the same key may then come twice from a chunk
+                if sizes[c] > HELD_KEYS:  # keep what is held small: the same key may then come twice from a chunk
                     for what in found:
                         key, n = summed(*found[what])
                         found[what] = ([key], [n])
@@ -279,7 +281,7 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Texts travel compressed, some million characters together."""
-        for b in slices(batches):
+        for b in slices(batches, chars=SLICE_CHARS):
             for c, part in b.groupby("chunk"):
                 yield pd.DataFrame({"chunk": np.int32(c), "ids": [part["id"].tolist()], "texts": [zstandard.compress(pickle.dumps(part["text"].tolist()))]})
 
