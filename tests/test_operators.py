@@ -343,3 +343,80 @@ def test_templates_files_and_zip(spark):
     assert {r["ref"]: r["file"] for r in resolve.best_file(refs, files).collect()} == {1: "lib/A.PcbDoc", 2: "lib/A.PcbDoc", 3: None}
     a, b = spark.createDataFrame([("d", 5, "p"), ("d", 1, "q")], "doc_id string, i int, x string"), spark.createDataFrame([("d", 9, "r"), ("d", 2, "s")], "doc_id string, j int, y string")
     assert {r["x"]: r["y"] for r in resolve.zipped(a, b, ["doc_id"], ["i"], ["j"]).collect()} == {"q": "s", "p": "r"}
+
+
+# -- stacks, outlines, models, libraries, streams
+
+
+def board(spark, text_):
+    return spark.createDataFrame([("d", i, *kv.split("=", 1)) for i, kv in enumerate(text_.split("|"))], "doc_id string, ord int, key string, value string")
+
+
+def test_layer_stacks(spark):
+    from tracewright.operators import stack
+
+    v9 = board(spark, "V9_STACK_LAYER0_NAME=Top|V9_STACK_LAYER0_COPTHICK=1.4mil|V9_STACK_LAYER1_NAME=Core|V9_STACK_LAYER1_DIELCONST=4.310|V9_STACK_LAYER0_NAME=Again|V9_STACK_LAYER3_NAME=Lost")
+    assert [(r["place"], r["name"], r["copper_thickness"], r["dielectric_constant"]) for r in stack.numbered_stack(v9).orderBy("place").collect()] == [(0, "Top", 14000, None), (1, "Core", None, 4310)]
+    v7 = board(spark, "V7_LAYER1NAME=old|V7_LAYER1NAME=A|V7_LAYER1NEXT=5|V7_LAYER5NAME=C|V7_LAYER5PREV=1|V7_LAYER5NEXT=3|V7_LAYER3NAME=B|V7_LAYER3PREV=5|V7_LAYER3NEXT=1|V7_LAYER9NAME=orphan|V7_LAYER9PREV=9|V7_LAYER9NEXT=9")
+    assert [r["name"] for r in stack.linked_stack(v7).orderBy("place").collect()] == ["A", "C", "B", "orphan"]
+
+
+def test_outline(spark):
+    from tracewright.operators import stack
+
+    corners = "|".join(f"KIND{i}=0|VX{i}={x}mil|VY{i}={y}mil" for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 0)]))
+    r = stack.outline(board(spark, corners)).first()
+    assert [(v["x"], v["y"], v["is_arc"]) for v in r["vertices"]] == [(0, 0, False), (MIL, 0, False), (MIL, MIL, False)] and r["error"] is None
+    r = stack.outline(board(spark, corners + "|KIND4=2|VX4=1mil|VY4=1mil")).first()
+    assert r["vertices"] is None and r["error"] == "corner 4"
+
+
+def test_vertices(spark):
+    p = params.parse(F.lit("|X1=1|Y1=2|X1_FRAC=5|X2=-1|EXTRALOCATIONCOUNT=3|EX3=7|EY3=8|EX5=1"))
+    assert [tuple(v) for v in one(spark, params.vertices(p, F.lit(2)))] == [(100_005, 200_000), (-100_000, 0), (700_000, 800_000)]
+    assert one(spark, params.vertices(p, F.lit(0))) == []
+
+
+def test_models(spark):
+    import zlib
+
+    from tracewright.operators import models
+
+    good = b"solid model"
+    checksum = sum(b * max(i, 1) for i, b in enumerate(good))
+    meta = spark.createDataFrame([("d", 0, "{a}", "good", checksum), ("d", 1, "{b}", "wrong", 1), ("d", 2, "{c}", "broken", 1), ("d", 3, "{d}", "none", 1)], "doc_id string, ord int, id string, name string, checksum int")
+    data = spark.createDataFrame([("d", 0, bytearray(zlib.compress(good))), ("d", 1, bytearray(zlib.compress(good))), ("d", 2, bytearray(b"xx"))], "doc_id string, ord int, payload binary")
+    bodies = spark.createDataFrame([("d", "{A}", "x"), ("d", "{Z}", "y"), ("d", "", "z")], "doc_id string, model_id string, name string")
+    got = sorted((r["item"], r["message"]) for r in models.checks(models.joined(meta, data), bodies).collect())
+    assert got == [("broken", "does not inflate"), ("none", "no payload"), ("wrong", "checksum differs"), ("{Z}", "model does not exist")]
+
+
+def test_library_checks(spark):
+    from tracewright.operators import library
+
+    make = spark.createDataFrame
+    listed = make([("l", "A", 2), ("l", "B", 1), ("l", "C", 0)], "library string, name string, stated_count int")
+    stored = make([("l", "A", True, "A"), ("l", "B", False, "X"), ("l", "D", True, None)], "library string, name string, has_data boolean, pattern string")
+    records = make([("l", "A", 0, 2, 202), ("l", "A", 1, 11, 7), ("l", "A", 2, 4, 48)], "library string, name string, ord int, kind int, size int")
+    ids = make([("l", "A", 1, 1), ("l", "A", 9, 1)], "library string, name string, record_index int, type_code int")
+    unique = make([("l", "A", 0, 2), ("l", "A", 1, 0)], "library string, name string, ord int, record_index int")
+    got = {(r["check"], r["item"], r["message"]) for r in library.checks(listed, stored, records, ids, unique).collect()}
+    assert got == {
+        ("listed", "l/C", "has no storage"), ("stored", "l/D", "is not listed"), ("data", "l/B", "has no data stream"), ("pattern", "l/B", "pattern is X"), ("count", "l/A", "states 2, has 3"), ("count", "l/B", "states 1, has 0"),
+        ("body", "l/A", "record 2 has 48 bytes"), ("guids", "l/A", "2 rows for 3 records"), ("guids", "l/A", "no record 9"), ("guids", "l/A", "wrong type of record 1"),
+        ("unique ids", "l/A", "out of order at record 0"), ("unique ids", "l/A", "record 2 is no pad"),
+    }
+
+
+def test_streamed_net_sizes(spark, tmp_path):
+    from tracewright.streaming import nets
+
+    rows = spark.createDataFrame([("VCC", "R1", "1"), ("VCC", "R1", "1"), ("VCC", "R2", "1"), ("GND", "R1", "2"), (None, "R1", "3")], "net string, designator string, pad string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = nets.net_sizes(stream).writeStream.outputMode("complete").format("memory").queryName("net_sizes").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r["net"]: r["n_conn"] for r in spark.table("net_sizes").collect()} == {"VCC": 2, "GND": 1}
+    seen = []
+    nets.changed_sheets(stream, lambda df, n: seen.append(df.count()), str(tmp_path / "c2")).awaitTermination(120)
+    assert seen == [5]

@@ -80,3 +80,26 @@ def token_params(tokens: Column) -> Column:
         return F.struct(F.when(at > 0, F.substring(t, F.lit(1), at - 1)).otherwise(t).alias("name"), F.when(at > 0, F.substring(t, at + 1, F.length(t))).otherwise("").alias("value"))
 
     return F.transform(tokens, entry)
+
+
+def vertices(params: Column, declared: Column) -> Column:
+    """array<struct<x,y>> from X1, Y1, ... up to ``declared``, then EX, EY as EXTRALOCATIONCOUNT says, up to the first that is missing.
+
+    Coordinates are whole units of 100,000 raw plus their ``_FRAC``; what is missing or unreadable counts as 0.
+    """
+    named = F.map_from_entries(F.transform(F.array_distinct(F.transform(params, lambda p: F.upper(p["name"]))), lambda k: F.struct(k.alias("k"), F.get(F.filter(params, lambda p: F.upper(p["name"]) == k), F.lit(0))["value"].alias("v"))))
+    text = lambda k: F.try_element_at(named, k)
+    number = lambda k: F.coalesce(F.trim(text(k)).try_cast("int"), F.lit(0))
+    key = lambda prefix, i, end="": F.concat(F.lit(prefix), i.cast("string"), F.lit(end))
+
+    def point(px: str, py: str, i: Column) -> Column:
+        raw = lambda p: (number(key(p, i)).cast("bigint") * 100_000 + number(key(p, i, "_FRAC"))).cast("int")
+        return F.struct(raw(px).alias("x"), raw(py).alias("y"))
+
+    count = F.greatest(declared, F.lit(0))
+    extra = F.greatest(number(F.lit("EXTRALOCATIONCOUNT")), F.lit(0))
+    present = lambda i: text(key("EX", i)).isNotNull() | text(key("EY", i)).isNotNull()
+    places = lambda a, n: F.filter(F.sequence(a, a + n), lambda i: i < a + n)
+    first = F.transform(places(F.lit(1), count), lambda i: point("X", "Y", i))
+    tail = F.aggregate(places(count + 1, extra), F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == i - count - 1) & present(i), F.concat(acc, F.array(i))).otherwise(acc))
+    return F.concat(first, F.transform(tail, lambda i: point("EX", "EY", i)))
