@@ -144,3 +144,26 @@ def test_typed_records(spark):
     assert (r["name"], r["x"], r["y"], r["component_kind"], r["source_designator"], r["rotation"], [tuple(e)[:2] for e in r["extra"]]) == ("R0402", 1_000_000, -10_000, 5, "R1", 0.0, [("UNKNOWN", "µ")])
     text = rows.select(schema.record_text(F.col("params")).alias("t")).first()["t"]
     assert text.startswith("|PATTERN=R0402|X=100mil") and text.endswith("|UNKNOWN=µ")
+
+
+def test_sheet_records_to_netlist(spark):
+    from tracewright.sources import sheet
+
+    lines = [
+        "|HEADER=x", "|RECORD=31|X=1",
+        "|RECORD=1|LIBREFERENCE=RES|CURRENTPARTID=1|DISPLAYMODECOUNT=1|DESIGNATORPREFIX=R",  # owner number 1
+        "|RECORD=2|OWNERINDEX=1|OWNERPARTID=1|DESIGNATOR=1|LOCATION.X=0|LOCATION.Y=0|PINLENGTH=10|PINCONGLOMERATE=0",
+        "|RECORD=2|OWNERINDEX=1|OWNERPARTID=2|DESIGNATOR=9|LOCATION.X=0|LOCATION.Y=0|PINLENGTH=10",
+        "|RECORD=41|OWNERINDEX=1|NAME=Designator|TEXT=R1", "|RECORD=44|OWNERINDEX=1", "|RECORD=45|OWNERINDEX=5|MODELNAME=OLD|MODELTYPE=PCBLIB|ISCURRENT=F", "|RECORD=45|OWNERINDEX=5|MODELNAME=R0402|MODELTYPE=PCBLIB|ISCURRENT=T",
+        "|RECORD=46|OWNERINDEX=7", "|RECORD=47|OWNERINDEX=8|DESINTF=1|DESIMP0=A|DESIMP1=B",
+        "|RECORD=1|LIBREFERENCE=CAP|DESIGNATORPREFIX=C", "|RECORD=2|DESIGNATOR=2|LOCATION.X=50|LOCATION.Y=0|PINLENGTH=10|PINCONGLOMERATE=2",
+        "|RECORD=27|LOCATIONCOUNT=2|X1=10|Y1=0|X2=30|Y2=0", "|RECORD=37|LOCATION.X=30|LOCATION.Y=0|CORNER.X=40|CORNER.Y=0|CORNER.X_FRAC=0", "|RECORD=25|LOCATION.X=20|LOCATION.Y=0|TEXT=SIG",
+        "|RECORD=15|LOCATION.X=500|LOCATION.Y=500|FILENAME=psu.SchDoc", "|RECORD=16|OWNERINDEX=15|NAME=EN", "|RECORD=32|LOCATION.X=505|LOCATION.Y=510|TEXT=PSU", "|RECORD=33|LOCATION.X=900|LOCATION.Y=500|TEXT=far",
+    ]
+    records = spark.createDataFrame([("s", i, t) for i, t in enumerate(lines)], "doc_id string, pos int, t string").select("doc_id", "pos", params.parse(F.col("t")).alias("params"))
+    got = {r["net"]: [tuple(m) for m in r["members"]] for r in sheet.netlist(records).collect()}
+    assert got == {"SIG": [("C?", "2"), ("R1", "A"), ("R1", "B")]}
+    rows = sheet.placed(records)
+    assert sorted((r["designator"], r["ord"]) for r in sheet.components(rows).collect()) == [("C?", 10), ("R1", 1)]
+    assert {r["ord"]: r["footprint"] for r in sheet.footprints(rows).collect()} == {1: "R0402", 10: None}
+    assert [(r["name"], r["file_name"]) for r in sheet.symbol_identity(rows).collect()] == [("PSU", "psu.SchDoc")]

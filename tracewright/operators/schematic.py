@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from .graph import components
 from .spatial import nearest_node, on_segment
 
@@ -67,11 +68,11 @@ def touching(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     return hits.where(on_segment(*(F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")), NODE_SNAP)).select("doc_id", "x", "y", "x0", "y0")
 
 
-def nets(pins: DataFrame, wires: DataFrame, labels: DataFrame, power: DataFrame, ports: DataFrame, junctions: DataFrame) -> DataFrame:
+def nets(pins: DataFrame, wires: DataFrame, labels: DataFrame, power: DataFrame, ports: DataFrame, junctions: DataFrame, bus_entries: DataFrame | None = None) -> DataFrame:
     """(doc_id, net, auto, members, ports): sorted, distinct pins (designator, pad) and port names of each net.
 
     ``pins``: (doc_id, designator, pad, x, y) with ends and pads resolved; ``labels``, ``power``: (…, text, x, y);
-    ``ports``: (…, name, x, y, width, style); ``wires``: (…, vertices). A label outranks a power object, which outranks
+    ``ports``: (…, name, x, y, width, style); ``wires``: (…, vertices); ``bus_entries``: (…, x, y, corner_x, corner_y). A label outranks a power object, which outranks
     a port; nets without a name are numbered by their least point among those that have a pin or a port. Nets of one
     name on a sheet are one net. Automatic nets with fewer than two members go, and nets without pins and with fewer
     than two ports. As numbers are given before that, they may have gaps.
@@ -79,9 +80,13 @@ def nets(pins: DataFrame, wires: DataFrame, labels: DataFrame, power: DataFrame,
     place = lambda df: df.select("doc_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
     vertices = wires.select("doc_id", F.explode("vertices").alias("v")).select("doc_id", F.col("v.x").alias("x"), F.col("v.y").alias("y"))
     hard = place(pins).unionByName(place(junctions)).unionByName(place(labels)).unionByName(place(power)).unionByName(place(vertices)).distinct()
+    corner = lambda df: df.select("doc_id", F.col("corner_x").alias("x"), F.col("corner_y").alias("y"))
+    if bus_entries is not None:
+        hard = hard.unionByName(place(bus_entries)).unionByName(place(corner(bus_entries))).distinct()
     ends = port_ends(ports).select("doc_id", "ord", "name", "x", "y").withColumn("id", F.struct("doc_id", "ord", "x", "y"))
     ends = nearest_node(ends, hard, PORT_SNAP).withColumn("x", F.coalesce("node_x", "x")).withColumn("y", F.coalesce("node_y", "y"))
-    nodes = hard.unionByName(place(ends)).distinct()
+    ends = written(ends, "ends")
+    nodes = written(hard.unionByName(place(ends)).distinct(), "nodes")
     lines = segments(wires)
     point = lambda x, y: F.struct(F.col("doc_id").alias("doc_id"), F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y"))
     edges = (
@@ -89,7 +94,9 @@ def nets(pins: DataFrame, wires: DataFrame, labels: DataFrame, power: DataFrame,
         .unionByName(lines.select(point("x0", "y0").alias("a"), point("x1", "y1").alias("b")))
         .unionByName(touching(nodes, lines).select(point("x", "y").alias("a"), point("x0", "y0").alias("b")))
     )
-    label = components(edges)
+    if bus_entries is not None:  # a bus entry joins its two ends
+        edges = edges.unionByName(bus_entries.select(point("x", "y").alias("a"), point("corner_x", "corner_y").alias("b")))
+    label = written(components(edges), "roots")
     rooted = lambda df: df.withColumn("node", point("x", "y")).join(label, "node")
     pin_rows, port_rows = rooted(pins), rooted(ends.where(F.trim("name") != "")).withColumn("name", F.trim("name"))
     named = lambda df, k, text: rooted(df).select("root", F.lit(k).alias("priority"), "ord", F.when(F.trim(text) != "", F.trim(text)).alias("name"))
