@@ -420,3 +420,23 @@ def test_streamed_net_sizes(spark, tmp_path):
     seen = []
     nets.changed_sheets(stream, lambda df, n: seen.append(df.count()), str(tmp_path / "c2")).awaitTermination(120)
     assert seen == [5]
+
+
+def test_boxes(spark):
+    from tracewright.operators import boxes
+
+    make = lambda ddl, *rows: spark.createDataFrame([("p", i, 0, *r) for i, r in enumerate(rows)], "path string, ord int, component_index int, " + ddl)
+    tables = {
+        "track": make("x0 int, y0 int, x1 int, y1 int, width int", (10, 0, 0, 5, 3)), "arc": make("x int, y int, radius int, width int", (0, 0, 10, 4)), "pad": make("x int, y int, x_size_top int, y_size_top int", (0, 0, 6, 8)),
+        "via": make("x int, y int, diameter int", (2**31 - 1, 0, 10)), "fill": make("x0 int, y0 int, x1 int, y1 int", (5, 5, 1, 1)), "text": make("x int, y int, height int, text string", (0, 0, 10, "abc")),
+        "outline": make("outline array<struct<x:int,y:int>>", ([{"x": 1, "y": 2}, {"x": -3, "y": 9}],)),
+    }
+    got = {r["kind"]: (r["x0"], r["y0"], r["x1"], r["y1"]) for r in boxes.boxes(tables, ["path"]).collect()}
+    assert got == {"track": (-1, -1, 11, 6), "arc": (-12, -12, 12, 12), "pad": (-3, -4, 3, 4), "via": (2**31 - 6, -5, 2**31 - 1, 5), "fill": (1, 1, 5, 5), "text": (0, 0, 18, 10), "outline": (-3, 2, 1, 9)}
+    r = boxes.enclosing({k: tables[k] for k in ("track", "arc")}, ["path"]).first()
+    assert (r["x_min"], r["y_min"], r["x_max"], r["y_max"]) == (-12, -12, 12, 12)
+    regions = tables["outline"].withColumn("layer", F.lit(1)).unionByName(tables["outline"].withColumn("layer", F.lit(1)).withColumn("ord", F.lit(7)))
+    pads = make("layer int, x int, y int", (1, 50, 50), (2, 0, 5), (1, 0, 5), (1, 1, 5))
+    assert [tuple(r) for r in boxes.pad_shapes(regions, pads).collect()] == [("p", 0, 2)]
+    owned, free = boxes.by_component(pads.withColumn("component_index", F.col("ord") - 1), spark.createDataFrame([("p", 0), ("p", 1)], "path string, ord int"))
+    assert (owned.count(), free.count()) == (2, 2)
