@@ -167,3 +167,22 @@ def test_sheet_records_to_netlist(spark):
     assert sorted((r["designator"], r["ord"]) for r in sheet.components(rows).collect()) == [("C?", 10), ("R1", 1)]
     assert {r["ord"]: r["footprint"] for r in sheet.footprints(rows).collect()} == {1: "R0402", 10: None}
     assert [(r["name"], r["file_name"]) for r in sheet.symbol_identity(rows).collect()] == [("PSU", "psu.SchDoc")]
+
+
+def test_texts_go_round(spark, tmp_path):
+    from tracewright.sources import sinks
+
+    body = "﻿[Design]\r\nName=a\r\n[Document1]\r\nDocumentPath=z\r\n"
+    (tmp_path / "x.LibPkg").write_bytes(body.encode())
+    rows = sources.ini(sources.documents(spark, str(tmp_path)))
+    assert sinks.ini_text(rows).first()["text"] == body
+    bom = "|RECORD=BOM_HEADER|TITLE=t\r\n|RECORD=CatalogItem|A=1|A=2\r\n"
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.BomDoc").write_bytes(bom.encode())
+    found = sources.records(sources.documents(spark, str(tmp_path / "b")))
+    assert sinks.bom_text(found).first()["text"] == bom
+    lines = spark.createDataFrame([("d", 1, "b"), ("d", 0, "a"), ("../e", 0, "c")], "doc_id string, ord int, line string")
+    texts = sinks.report_text(lines, end="\n")
+    assert {r["doc_id"]: r["text"] for r in texts.collect()} == {"d": "a\nb\n", "../e": "c\n"}
+    sinks.write_texts(texts, str(tmp_path / "out"), "doc")
+    assert {r["doc"]: r["value"] for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()} == {"d": "a\nb\n\n", "UNSAFE_e": "c\n\n"}
