@@ -440,3 +440,15 @@ def test_boxes(spark):
     assert [tuple(r) for r in boxes.pad_shapes(regions, pads).collect()] == [("p", 0, 2)]
     owned, free = boxes.by_component(pads.withColumn("component_index", F.col("ord") - 1), spark.createDataFrame([("p", 0), ("p", 1)], "path string, ord int"))
     assert (owned.count(), free.count()) == (2, 2)
+
+
+def test_numbers_and_owners(spark):
+    nets = spark.createDataFrame([("d", 0, "A"), ("d", 1, "B"), ("d", 2, "A")], "doc_id string, ord int, name string")
+    prims = spark.createDataFrame([("d", "A"), ("d", "B"), ("d", "C"), ("d", None)], "doc_id string, net string")
+    assert {r["net"]: r["net_index"] for r in resolve.net_numbers(prims, nets).collect()} == {"A": 3, "B": 2, "C": 0, None: 0}
+    records = spark.createDataFrame([("d", 0, None, 2), ("d", 1, 0, 1), ("d", 2, 9, 0)], "doc_id string, ord int, owner int, k int")
+    assert {r["k"]: (r["ord"], r["owner"]) for r in resolve.retargeted(records, ["k"]).collect()} == {0: (0, None), 1: (1, 2), 2: (2, None)}
+    side = spark.createDataFrame([("p", "s", 1, "u")], "path string, storage string, record_index int, uid string")
+    prims = spark.createDataFrame([("p", "s", 2, 4), ("p", "s", 2, 9)], "path string, storage string, kind int, ord int")
+    assert {r["ord"]: r["uid"] for r in resolve.by_slot(prims, side, "uid").collect()} == {4: None, 9: "u"}
+    assert [r["ord"] for r in resolve.first_rows(prims, ["ord"], 1).collect()] == [4] and resolve.first_rows(prims, ["ord"], None).count() == 2

@@ -79,3 +79,28 @@ def best_file(references: DataFrame, files: DataFrame) -> DataFrame:
     rank = F.when(F.col("file") == F.col("path"), 0).when(base("file") == base("path"), 1).otherwise(2)
     best = hits.groupBy("ref").agg(F.min_by("file", F.struct("root_ord", rank.alias("r"), "file")).alias("file"))
     return references.join(best, "ref", "left")
+
+
+def net_numbers(prims: DataFrame, nets: DataFrame) -> DataFrame:
+    """``prims`` (doc_id, net) with ``net_index`` from 1, that of the last net of the name; 0 where there is none."""
+    last = nets.groupBy("doc_id", F.col("name").alias("net")).agg((F.max("ord") + 1).alias("net_index"))
+    return prims.drop("net_index").join(last, ["doc_id", "net"], "left").withColumn("net_index", F.coalesce("net_index", F.lit(0)))
+
+
+def retargeted(records: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``records`` (doc_id, ord, owner) renumbered from 0 in ``order``, owners following; an owner that is gone becomes null."""
+    new = records.withColumn("__new", F.row_number().over(W.partitionBy("doc_id").orderBy(*order)) - 1)
+    places = new.select("doc_id", F.col("ord").alias("owner"), F.col("__new").alias("__owner"))
+    joined = new.join(places, ["doc_id", "owner"], "left")
+    return joined.withColumn("ord", F.col("__new")).withColumn("owner", F.col("__owner")).drop("__new", "__owner")
+
+
+def by_slot(prims: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    """``prims`` (path, storage, kind, ord) with ``value`` from a side table (path, storage, record_index, value): the index counts all records of the storage in order."""
+    slot = F.row_number().over(W.partitionBy("path", "storage").orderBy("ord")) - 1
+    return prims.withColumn("record_index", slot).join(side.select("path", "storage", "record_index", value), ["path", "storage", "record_index"], "left")
+
+
+def first_rows(rows: DataFrame, order: Sequence[str], n: int | None = 10) -> DataFrame:
+    """The first ``n`` rows of a listing, or all."""
+    return rows.orderBy(*order) if n is None else rows.orderBy(*order).limit(n)
