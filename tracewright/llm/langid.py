@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import remainder, table
 
-SAMPLE, BUCKETS, PIECE = 1600, 1 << 13, 1 << 19
+SAMPLE, BUCKETS, PIECE = 1600, 1 << 13, 1 << 17
 UND = "und"
 #: Family of a language by its ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -54,7 +54,7 @@ def letters() -> np.ndarray:
 
 
 def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket of each n-gram, index of its text) for all n-grams, some half a million characters at a time."""
+    """(bucket of each n-gram, index of its text) for all n-grams, some ``PIECE`` characters at a time."""
     todo: list[tuple[int, str]] = []
     size = 0
     for i, t in enumerate(texts):
