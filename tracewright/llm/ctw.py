@@ -18,8 +18,8 @@ ones, two are expected to be mistaken for each other about n * n / 2**65 times.
 
 Defined results: a null text counts as empty, and an empty text is its end alone; repeated rows are counted and scored
 each; without training rows every bit has probability one half; an empty table gives none; columns other than those named
-are not read. ``docs`` must give the same rows in the same partitions when read again, as a scan does; a chunk that
-finds a value missing fails rather than guess.
+are not read. Chunks are told by values of the rows (in the query, by file and place in the file), so that tasks that run
+again on other executors count and score the same ones.
 """
 
 from __future__ import annotations
@@ -38,10 +38,10 @@ from .common import remainder, slices, table, written
 from .minhash import mixed
 
 DEPTH, END = 5, 255
-#: Bytes of compressed input that one chunk holds about.
-CHUNK_BYTES = 16 << 20
+#: Characters that one chunk holds about.
+CHUNK_CHARS = 24 << 20
 #: Characters that a task works on at a time, and keys with counts that it holds before it adds up equal ones.
-SLICE_CHARS, HELD_KEYS = 1 << 19, 1_000_000
+SLICE_CHARS, HELD_KEYS = 1 << 18, 500_000
 U = np.uint64
 LOG_HALF = math.log(0.5)
 END_KEY = np.array([-1], dtype=np.int64)  # the end token's; a word's hash is even
@@ -111,7 +111,7 @@ class Lookup:
         if len(lost):
             found = np.minimum(np.searchsorted(self.key, key[lost]), len(self.key) - 1)
             if not (self.key[found] == key[lost]).all():
-                raise ValueError("a chunk's rows are not those that were counted: docs must be read again as they were")
+                raise ValueError("a text has words or bytes that were not counted: docs changed while they were scored")
             at[lost] = found
         return self.value[at]
 
@@ -205,22 +205,25 @@ def log10_of(key: np.ndarray, tree: list[Level], top: Top) -> np.ndarray:
     return total
 
 
-def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, chunk: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    ``train`` names a boolean column: the rows to learn from.
+    ``train`` names a boolean column: the rows to learn from. ``chunk`` names a column of whole numbers that says which
+    rows are counted together, best rows that are read together; without it rows are dealt out by a hash.
     """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    within = max(1, round(limit / CHUNK_BYTES))
-    chunk = F.spark_partition_id() * within + F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(within)).cast("int")
-    rows = docs.select(chunk.alias("chunk"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    if chunk is None:
+        size = docs.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
+        of_chunk = F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(size // CHUNK_CHARS + 1))
+    else:
+        of_chunk = F.col(chunk)
+    rows = docs.select(of_chunk.cast("long").alias("chunk"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
 
     def emit(chunk: int, found: dict[int, tuple[list, list]]) -> Iterator[pd.DataFrame]:
         for what, (keys, counts) in found.items():
             key, n = summed(keys, counts)
             for i in range(0, len(key), 1 << 17):
-                yield pd.DataFrame({"chunk": np.int32(chunk), "word": what == 0, "key": key[i : i + (1 << 17)], "n": n[i : i + (1 << 17)]})
+                yield pd.DataFrame({"chunk": np.int64(chunk), "word": what == 0, "key": key[i : i + (1 << 17)], "n": n[i : i + (1 << 17)]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The distinct words and byte runs of each chunk, with their counts in training rows."""
@@ -241,15 +244,19 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
                         found[what][0].append(key)
                         found[what][1].append(n * times)
                         sizes[c] = sizes.get(c, 0) + len(key)
-                if sizes[c] > HELD_KEYS:  # keep what is held small: the same key may then come twice from a chunk
+                if sizes[c] > HELD_KEYS + sum(len(k[0]) for k, _ in found.values()):  # keep what is held small
                     for what in found:
                         key, n = summed(*found[what])
                         found[what] = ([key], [n])
                     sizes[c] = sum(len(found[what][0][0]) for what in found)
+                if sum(sizes.values()) > 4 * HELD_KEYS:  # the same key may then come again from a chunk
+                    for other in list(held):
+                        yield from emit(other, held.pop(other))
+                    sizes.clear()
         for c, found in held.items():
             yield from emit(c, found)
 
-    counted = rows.mapInPandas(count, "chunk int, word boolean, key long, n long")
+    counted = rows.mapInPandas(count, "chunk long, word boolean, key long, n long")
     totals = written(counted.groupBy("word", "key").agg(F.sum("n").alias("n"), F.collect_set("chunk").alias("chunks")), "totals")
     size = totals.where("word and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = size["n"], size["v"]
@@ -283,7 +290,7 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
         """Texts travel compressed, some million characters together."""
         for b in slices(batches, chars=SLICE_CHARS):
             for c, part in b.groupby("chunk"):
-                yield pd.DataFrame({"chunk": np.int32(c), "ids": [part["id"].tolist()], "texts": [zstandard.compress(pickle.dumps(part["text"].tolist()))]})
+                yield pd.DataFrame({"chunk": np.int64(c), "ids": [part["id"].tolist()], "texts": [zstandard.compress(pickle.dumps(part["text"].tolist()))]})
 
     def scored(packed: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         is_word = known["word"].to_numpy(bool)
@@ -306,12 +313,16 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
         return pd.concat(out)
 
     out = f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    packed = rows.select("chunk", "id", "text").mapInPandas(pack, f"chunk int, ids array<{kind}>, texts binary")
+    packed = rows.select("chunk", "id", "text").mapInPandas(pack, f"chunk long, ids array<{kind}>, texts binary")
     found = packed.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInPandas(scored, out)
     return found.withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("train", remainder("doc_id", 5) != 1)
-    found = score(docs, "train")
+    docs = table(spark, sf_dir, "documents")
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).first()
+    each = max(1, CHUNK_CHARS * size["rows"] // max(1, size["chars"] or 0))  # rows of a chunk, in the order of their file
+    chunk = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / each))
+    docs = docs.select("doc_id", "text", (remainder("doc_id", 5) != 1).alias("train"), chunk.alias("chunk"))
+    found = score(docs, "train", chunk="chunk")
     return found.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
