@@ -97,13 +97,13 @@ def vectors(texts: list[str | None]) -> np.ndarray:
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 60) -> np.ndarray:
     """Weights and bias of the squared-hinge machine by accelerated gradient steps; y is 1 or -1, the classes weigh the same."""
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    x1 = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
-    rate = 1 / (2 * c * float((weight * (x1**2).sum(1)).sum()) + 0.01)
-    w = look = np.zeros(x1.shape[1], dtype=np.float32)
+    rate = np.float32(1 / (2 * c * float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + 0.01))
+    w = look = np.zeros(x.shape[1] + 1, dtype=np.float32)  # the bias comes last
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x1 @ look))
-        new = look - rate * (0.01 * look - 2 * c * (x1.T @ (weight * y * slack)))
-        look, w = new + k / (k + 3) * (new - w), new
+        slack = np.maximum(0, 1 - y * (x @ look[:-1] + look[-1]))
+        pull = weight * y * slack
+        new = look - rate * (np.float32(0.01) * look - np.float32(2 * c) * np.append(pull @ x, pull.sum()))
+        look, w = new + np.float32(k / (k + 3)) * (new - w), new
     return w
 
 
