@@ -380,6 +380,43 @@ def test_classes_equal_brute_force(spark):
     assert kept == sorted(set(want))
 
 
+def short_texts():
+    """Texts of 1 to 50 words with words added, dropped or changed at their ends, and some with a passage in common."""
+    r = random.Random(8)
+    texts, passage = [], [f"p{i}" for i in range(12)]
+    for n in [*range(1, 14), *range(14, 51, 4)]:
+        words = (passage if r.random() < 0.4 and n > 14 else []) + [f"w{r.randrange(3000)}" for _ in range(n)]
+        words = words[:n]
+        new = lambda k: [f"x{r.randrange(10**6)}" for _ in range(k)]
+        k = r.randint(1, max(1, n // 8))
+        texts += [" ".join(x) for x in (words, words + new(1), new(1) + words, words[:-1] + new(1), words + new(k), words[k:], new(k) + words[k:], words + words[-3:])]
+    return texts
+
+
+def test_short_texts_that_are_linked_share_a_key():
+    texts = [t for t in short_texts() if t]
+    grams = [minhash.kmers(minhash.word_hashes(t)) for t in texts]
+    linked = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if minhash.similarity(grams[i], grams[j], 0.79) >= 0.8 - 1e-9 and min(len(grams[i]), len(grams[j])) <= minhash.SHORT]
+    assert len(linked) > 100
+    for deeper in range(minhash.DEEPER + 1):
+        keys = [set(minhash.short_keys(minhash.labelled(g), deeper)) for g in grams]
+        assert all(keys[i] & keys[j] for i, j in linked)
+    for n in (8, 9, 10):  # one word added at an end: 0.80, 0.83 and 0.86
+        a, b = (minhash.sketch(" ".join(f"w{i}" for i in range(k))) for k in (n, n + 1))
+        assert set(sum(a, [])) & set(sum(b, []))
+
+
+def test_classes_of_short_texts_equal_brute_force(spark):
+    old = minhash.LEFTOVER_ROWS
+    try:
+        for minhash.LEFTOVER_ROWS, words in ((old, 60), (5, 32)):  # as it is, and the way for large buckets
+            texts = [t for t in short_texts() if len(t.split()) <= words]
+            got = {x["doc_id"]: x["class_id"] for x in minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+            assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+    finally:
+        minhash.LEFTOVER_ROWS = old
+
+
 def test_odd_rows_in_classes(spark):
     docs = odd(spark)
     got = minhash.classes(docs).collect()

@@ -3,7 +3,10 @@
 A text is its sequence of words (runs of letters, digits and ``_``, small-cased); its k-mers are the runs of
 ``SHINGLE`` words, each labelled with how often it has occurred before in the text. Each of ``SKETCHES`` hash functions
 picks the ``PICK`` least labelled k-mers and keeps them in text order; texts that agree in one such tuple are
-candidates. Their similarity is that of the aligned k-mer sequences, m / (n1 + n2 - m) with m the longest common
+candidates. Short texts have too few k-mers for that to find all pairs, so they have keys that do: of two texts with n1
+and n2 >= n1 k-mers, n1 up to ``SHORT``, a link has at least 0.8 n2 labelled k-mers in common, hence the first
+n - ceil(0.8 n) + t of each in one order of hashes have t in common, and each set of t of those is a key (``tuple_size``
+gives t for n1). Their similarity is that of the aligned k-mer sequences, m / (n1 + n2 - m) with m the longest common
 subsequence: for substituted, inserted and deleted words this is the Jaccard similarity of the k-mers, and moved text
 lowers it. One minus it is a metric, which is used below. Pairs of ``SIMILARITY`` or more are links; classes are the
 connected components of the links and of equal texts.
@@ -13,7 +16,8 @@ compared with the bucket's least member (the pivot), which settles buckets of tr
 is left are buckets whose members are then still in several classes: there, members that failed are compared with all
 those that the triangle inequality lets be near and that have not met in one class meanwhile. A bucket with more than
 ``LEFTOVER_ROWS`` of them is first dealt to smaller ones, by a second tuple that its members must share; pairs of
-``SIMILARITY`` do so about as surely as they share the first.
+``SIMILARITY`` do so about as surely as they share the first. A bucket of short texts is dealt by their keys of one k-mer
+more, which such pairs surely share, up to ``DEEPER`` times.
 
 Defined results: a null text is a class of its own (its row's id); empty texts, and texts without words, are classes by
 equal text; a text under ``SHINGLE`` words is one k-mer; repeated rows give repeated rows in one class; an empty table
@@ -23,6 +27,7 @@ gives none; columns other than those named are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -41,6 +46,8 @@ BROADCAST_ROWS = 1_000_000
 LEFTOVER_ROWS = 2_000
 #: Members compared with one pivot in one task.
 SALT_ROWS = 2_000
+#: K-mers of the shorter text up to which candidates are complete, and how often a large bucket of such texts is dealt anew.
+SHORT, DEEPER = 40, 2
 
 U = np.uint64
 
@@ -107,11 +114,49 @@ def labelled(grams: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, mixed(grams + nth * U(0xA24BAED4963EE407)), grams)
 
 
-def sketch(text: str) -> list[int]:
-    """``SKETCHES`` hashes of ordered tuples; none for a text without words."""
+def least_common(n: int) -> int:
+    """K-mers that a text of ``n`` has in common with each that it is linked to."""
+    return -int((1e-9 - n * SIMILARITY) // 1)
+
+
+def tuple_size(n: int, deeper: int) -> int:
+    """Size of the sets that are keys of pairs whose shorter text has ``n`` k-mers; longer texts have more to set aside."""
+    return min((4 if n <= 12 else 3 if n <= 24 else 2) + deeper, least_common(n))
+
+
+@functools.lru_cache(maxsize=None)
+def subsets(n: int, size: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), size)), dtype=np.int64)
+
+
+def short_keys(x: np.ndarray, deeper: int = 0) -> list[int]:
+    """Of labelled k-mers, keys of which any two linked texts share one if the shorter has up to ``SHORT``."""
+    n = len(x)
+    sizes = sorted({tuple_size(k, deeper) for k in range(least_common(n), min(n, SHORT) + 1)})
+    order = np.sort(mixed(x ^ U(0x5851F42D4C957F2D)))
+    out = []
+    for size in sizes:
+        picked = order[: n - least_common(n) + size]
+        picked = picked[subsets(len(picked), size)]
+        h = np.full(len(picked), (size + 16 * (deeper + 1)) * 0x632BE59BD9B4E019 & (1 << 64) - 1, dtype=U)
+        for j in range(size):
+            h = mixed(h * U(0x9E3779B97F4A7C15) + picked[:, j])
+        out += h.view(np.int64).tolist()
+    return out
+
+
+def sketch(text: str) -> tuple[list[int], list[int]]:
+    """``SKETCHES`` hashes of ordered tuples, and the keys of a short text; none for a text without words."""
     x = labelled(kmers(word_hashes(text)))
     if not len(x):
-        return []
+        return [], []
+    keys = short_keys(x)
+    if len(x) <= least_common(SHORT):  # all that it can be linked to have such keys
+        return [], keys
+    return tuples(x), keys
+
+
+def tuples(x: np.ndarray) -> list[int]:
     a, b = seeds()
     pick = min(PICK, len(x))
     if pick < len(x):
@@ -126,10 +171,10 @@ def sketch(text: str) -> list[int]:
         at = np.concatenate(at)
     else:
         at = np.tile(np.arange(pick), (SKETCHES, 1))
-    tuples = x[np.sort(at, axis=1)]
+    picked = x[np.sort(at, axis=1)]
     h = np.arange(1, SKETCHES + 1, dtype=U) * U(0x2545F4914F6CDD1D)
     for j in range(pick):
-        h = mixed(h * U(0x9E3779B97F4A7C15) + tuples[:, j])
+        h = mixed(h * U(0x9E3779B97F4A7C15) + picked[:, j])
     return h.view(np.int64).tolist()
 
 
@@ -235,15 +280,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
-            yield pd.DataFrame({"id": b["id"], "key": b["key"], "bands": [sketch(t) for t in b["text"]]})
+            found = [sketch(t) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "key": b["key"], "bands": [x for x, _ in found], "short": [x for _, x in found]})
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches):
+            new = [short_keys(labelled(kmers(word_hashes(t))), d + 1) for t, d in zip(b["text"], b["deeper"])]
+            yield pd.DataFrame({"old": b["band"], "key": b["key"], "deeper": b["deeper"] + 1, "other": new})
 
     # One item for each text: the least id that has it, and its sketch.
     items = written(
-        rows.where("text is not null").mapInPandas(sketched, f"id {kind}, key binary, bands array<bigint>").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "items"
+        rows.where("text is not null").mapInPandas(sketched, f"id {kind}, key binary, bands array<bigint>, short array<bigint>").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("short").alias("short")), "items"
     )
-    members = items.select("key", F.explode("bands").alias("band"))
+    # ``deeper`` says how often a bucket of short texts was dealt anew; it is -1 for those of sketches.
+    members = items.select("key", F.explode("bands").alias("band"), F.lit(-1).alias("deeper")).unionByName(items.select("key", F.explode("short").alias("band"), F.lit(0).alias("deeper")))
     shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = written(members.join(shared, "band").select("band", "key"), "members")
+    members = written(members.join(shared, "band").select("band", "key", "deeper"), "members")
 
     needed = written(members.select("key").distinct().join(items.select("key", "id"), "key"), "needed")
     few = needed.count() <= BROADCAST_ROWS
@@ -253,27 +305,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     active, label, tried = members, None, None
     while True:
         pivots = active.groupBy("band").agg(F.min("key").alias("b"))
-        star = written(active.join(pivots, "band").select("band", F.col("key").alias("a"), "b"), "star")
+        star = written(active.join(pivots, "band").select("band", "deeper", F.col("key").alias("a"), "b"), "star")
         pairs = star.where("a <> b").select("a", "b").distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = written(salted(pairs, texts).mapInPandas(compare, "a binary, b binary, d double"), "compared")
         label = merged(label, found.where(F.col("d") <= near))
         tried = found if tried is None else tried.unionByName(found)
         # Buckets of more than one class: members that failed, and those that passed and can be near to one that failed.
-        judged = star.join(tried, ["a", "b"], "left").select("band", "a", F.coalesce("d", F.lit(0.0)).alias("d"))
+        judged = star.join(tried, ["a", "b"], "left").select("band", "deeper", "a", F.coalesce("d", F.lit(0.0)).alias("d"))
         judged = rooted(judged, label, "a", "root").withColumn("failed", F.col("d") > near)
         mixed_ = judged.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min(F.when(F.col("failed"), F.col("d"))).alias("nearest")).where("r <> s")
         left = judged.join(mixed_.select("band", "nearest"), "band").where(F.col("failed") | (F.col("d") >= F.col("nearest") - near))
-        left = written(left.withColumnRenamed("a", "key").select("band", "key", "d", "failed", "root"), "left")
-        sizes = left.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
-        small = left.join(sizes.where(F.col("n") <= LEFTOVER_ROWS).select("band"), "band").join(texts, "key")
+        left = written(left.withColumnRenamed("a", "key").select("band", "deeper", "key", "d", "failed", "root"), "left")
+        sizes = left.groupBy("band", "deeper").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+        now = (F.col("n") <= LEFTOVER_ROWS) | (F.col("deeper") >= DEEPER)
+        small = left.drop("deeper").join(sizes.where(now).select("band"), "band").join(texts, "key")
         label = merged(label, written(small.groupBy("band").applyInPandas(settle, "a binary, b binary"), "settled"))
-        large = left.join(sizes.where(F.col("n") > LEFTOVER_ROWS).select("band"), "band")
+        large = left.join(sizes.where(~now).select("band"), "band")
         if large.isEmpty():
             break
         # Members of a large bucket meet again where they agree in another tuple too, as texts that are near do.
-        again = large.select(F.col("band").alias("old"), "key").join(items.select("key", F.explode("bands").alias("other")), "key").where("old <> other")
-        again = written(again.select(F.xxhash64("old", "other").alias("band"), "key").distinct(), "members")
+        again = large.where("deeper < 0").select(F.col("band").alias("old"), "key", "deeper").join(items.select("key", F.explode("bands").alias("other")), "key").where("old <> other")
+        short = large.where("deeper >= 0").select("band", "key", "deeper").join(texts, "key").mapInPandas(dealt, "old bigint, key binary, deeper int, other array<bigint>")
+        again = again.unionByName(short.withColumn("other", F.explode("other")))
+        again = written(again.select(F.xxhash64("old", "other").alias("band"), "key", "deeper").distinct(), "members")
         active = again.join(again.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band")
 
     label = label.withColumnRenamed("node", "key")
