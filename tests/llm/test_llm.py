@@ -118,6 +118,17 @@ def test_decontamination_finds_planted(spark):
     assert decontam.matches(docs.limit(0), bench).count() == 0 and decontam.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_parts_and_items(spark):
+    items = ["What is the capital of France? Paris", "Who wrote the old play named Hamlet? William Shakespeare", "Which three colours has the flag of Italy? green white and red", "Why? because the warm air rises over the cold air"]
+    items += ["zeta eta theta iota kappa lambda", "one1 two2 three3 four4 five5 six6 seven7 eight8 nine9", "alpha9 beta9 gamma9", "omega7"]
+    filler = " ".join(f"filler{i}" for i in range(100))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(i, f"{filler} {t} {filler}") for i, t in enumerate(items)] + [(100 + i, t) for i, t in enumerate(items)]
+    docs += [(200, f"{filler} What is the capital of France? Lyon {filler}"), (201, f"gamma9 {filler} beta9 alpha9 {filler}"), (202, f"{filler} kappa lambda zeta eta {filler}")]
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect())
+    assert got == [(i + k, i) for k in (0, 100) for i in range(len(items))]
+
+
 # -- 4 secrets
 
 

@@ -8,7 +8,8 @@ of the threshold in impact, are set aside, and a passage whose other words canno
 passages of a batch at once, before the search proper.
 
 A retrieved item counts when the passage holds ``OVERLAP`` of its word 5-grams, and ``PART`` of those of its question
-and of its answer: the question ends with the first '?', or else with the first half of the words.
+and of its answer: the question ends with the first '?', or else with the first half of the words. An item or part of fewer
+than 5 words is one k-mer of its own length, looked for among the passage's k-mers of that length.
 
 The index is held by every task, so its size is bounded: at most ``SHARD_ITEMS`` items at a time, and a larger benchmark
 takes a pass over the texts for each such part. Word frequencies and lengths are those of all items either way.
@@ -20,8 +21,9 @@ read.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,18 +32,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, written
-from .minhash import kmers, word_hashes
+from .minhash import SHINGLE, kmers, word_hashes
 
 THRESHOLD, OVERLAP, PART = 0.6, 0.8, 0.5
 K1, B, BLOCK, SHARD_ITEMS, LEAST_STRIDE = 1.2, 0.75, 32, 20_000, 64
 U = np.uint64
 
 
-def parts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+def sized(words: np.ndarray) -> tuple[int, np.ndarray]:
+    """The k-mers and their length, which is that of the words if they are few."""
+    return min(SHINGLE, len(words)), kmers(words)
+
+
+def parts_of(text: str) -> tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]:
     """k-mers of the question and of the answer."""
     words = word_hashes(text)
     cut = len(word_hashes(text[: text.index("?") + 1])) if "?" in text else (len(words) + 1) // 2
-    return kmers(words[:cut]), kmers(words[cut:])
+    return sized(words[:cut]), sized(words[cut:])
 
 
 class Index:
@@ -51,7 +58,7 @@ class Index:
         self.stride = stride
         kept = [(i, w, t) for i, t in items if len(w := word_hashes(t))]
         self.ids = [i for i, _, _ in kept]
-        self.grams = [kmers(w) for _, w, _ in kept]
+        self.grams = [sized(w) for _, w, _ in kept]
         self.parts = [parts_of(t) for _, _, t in kept]
         rows, cols, impact = [], [], []
         for col, (_, words, _) in enumerate(kept):
@@ -147,9 +154,9 @@ class Index:
             live = moved
         return found
 
-    def overlaps(self, col: int, grams: np.ndarray) -> tuple[float, float, float]:
-        share = lambda g: float(np.isin(g, grams).mean()) if len(g) else 1.0
-        return share(self.grams[col]), share(self.parts[col][0]), share(self.parts[col][1])
+    def overlaps(self, col: int, grams: Callable[[int], np.ndarray]) -> tuple[float, float, float]:
+        share = lambda k, g: float(np.isin(g, grams(k)).mean()) if k else 1.0
+        return share(*self.grams[col]), share(*self.parts[col][0]), share(*self.parts[col][1])
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float, float]]]:
         """For each text its verified (item, score, overlap, question, answer), the best passage of each item."""
@@ -171,8 +178,9 @@ class Index:
             passage = words[i][first : first + 2 * self.stride]
             if not len(passage):
                 continue
+            grams = functools.lru_cache(maxsize=None)(functools.partial(kmers, passage))
             for col, score in self.search(np.unique(self.term_ids(passage)[1])):
-                whole, question, answer = self.overlaps(col, kmers(passage))
+                whole, question, answer = self.overlaps(col, grams)
                 if whole >= OVERLAP and question >= PART and answer >= PART:
                     best[i, col] = max(best.get((i, col), (0.0,)), (whole, score, question, answer))
         for (i, col), (whole, score, question, answer) in sorted(best.items()):

@@ -90,10 +90,10 @@ def word_hashes(text: str) -> np.ndarray:
     return mixed(np.add.reduceat(term, np.cumsum(length) - length) + length.astype(U))
 
 
-def kmers(words: np.ndarray) -> np.ndarray:
+def kmers(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     if len(words) == 0:
         return words
-    k = min(SHINGLE, len(words))
+    k = min(size, len(words))
     n = len(words) - k + 1
     h = np.zeros(n, dtype=U)
     for j in range(k):
