@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -428,6 +429,15 @@ def test_classes_of_short_texts_equal_brute_force(spark):
         minhash.LEFTOVER_ROWS = old
 
 
+def test_distances_beyond_the_exact_range_rule_nothing_out():
+    words = [f"w{i}" for i in range(104)]
+    pivot, a, b = " ".join(words), " ".join(words[:65]), " ".join(words[:63])  # 100, 61 and 59 k-mers
+    pairs = pd.DataFrame({"a": [b"a", b"b"], "b": [b"p", b"p"], "text_a": [a, b], "text_b": [pivot, pivot]})
+    d = pd.concat(minhash.compare(iter([pairs])))["d"].tolist()
+    bucket = pd.DataFrame({"band": 1, "key": [b"p", b"a", b"b"], "d": [0.0, *d], "failed": [False, True, True], "root": [b"p", b"a", b"b"], "text": [pivot, a, b]})
+    assert minhash.settle(bucket)[["a", "b"]].values.tolist() in ([[b"a", b"b"]], [[b"b", b"a"]])
+
+
 def test_odd_rows_in_classes(spark):
     docs = odd(spark)
     got = minhash.classes(docs).collect()

@@ -220,11 +220,11 @@ def salted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs with their distance, exact up to twice the greatest of a link."""
+    """Pairs with their distance, exact up to twice the greatest of a link; what is farther has that bound."""
     grams = functools.lru_cache(maxsize=1024)(lambda t: kmers(word_hashes(t)))
     floor = 1 - 2 * (1 - SIMILARITY)
     for part in slices(batches, "text_a"):
-        d = [1 - similarity(grams(x), grams(y), floor) for x, y in zip(part["text_a"], part["text_b"])]
+        d = [min(1 - similarity(grams(x), grams(y), floor), 1 - floor) for x, y in zip(part["text_a"], part["text_b"])]
         yield pd.DataFrame({"a": part["a"], "b": part["b"], "d": d})
 
 
