@@ -2,7 +2,8 @@
 
 The base kinds ``assign``, ``access`` and ``hex`` are fixed patterns, and what they match is always kept. Further
 candidates (``pem``, ``jwt``, ``url``, ``generic``) are kept when the network, reading the candidate and its
-surroundings, gives at least the threshold that keeps ``recall`` of the calibration positives.
+surroundings, gives at least the threshold that keeps ``recall`` of the calibration positives. Only what lies wholly
+inside a kept span is dropped; spans that overlap in part are both given.
 
 The network is trained on labelled findings drawn by a seeded generator (``labelled``): keys, passwords and tokens in
 code, configuration and prose against words, names, paths, versions and repeated characters. Its size and the number of
@@ -57,7 +58,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Further (start, kind, end), apart from each other and from ``base``."""
+    """Further (start, kind, end) that do not lie wholly in a span of ``base``."""
     found = []
     if "PRIVATE KEY-----" in text:
         found += [(m.start(), 3, m.end()) for m in PEM.finditer(text)]
@@ -66,12 +67,20 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     if "://" in text:
         found += [(m.start(), 5, m.end()) for m in URL.finditer(text)]
     found += [(m.start(), 6, m.end()) for m in RUN.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
-    kept, taken = [], sorted((s, e) for s, _, e in base)
-    for start, kind, end in sorted(found, key=lambda x: (x[1], x[0])):
-        if all(end <= s or e <= start for s, e in taken):
-            kept.append((start, kind, end))
-            taken.append((start, end))
-    return sorted(kept)
+    return sorted(x for x in found if not inside(x, base))
+
+
+def inside(x: tuple[int, int, int], spans: list[tuple[int, int, int]]) -> bool:
+    return any(s <= x[0] and x[2] <= e for s, _, e in spans)
+
+
+def kept(more: list[tuple[int, int, int]], p, threshold: float) -> list[tuple[int, int, int, float]]:
+    """(start, kind, end, score) of the candidates that the network keeps, without those inside one of an earlier kind."""
+    out: list[tuple[int, int, int, float]] = []
+    for x, q in sorted(zip(more, p), key=lambda y: (y[0][1], y[0][0])):
+        if q >= threshold and not inside(x, [y[:3] for y in out]):
+            out.append((*x, float(q)))
+    return out
 
 
 def view(text: str, start: int, end: int) -> str:
@@ -197,12 +206,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         for texts in batches:
             base = [base_spans(t) for t in texts]
             more = [candidates(t, b) for t, b in zip(texts, base)]
-            where = [(i, s) for i, x in enumerate(more) for s in x]
-            p = model.probability(codes([view(texts.iloc[i], s, e) for i, (s, _, e) in where])) if where else []
-            all_spans = [[(s, k, e, 1.0) for s, k, e in b] for b in base]
-            for (i, (s, k, e)), q in zip(where, p):
-                if q >= model.threshold:
-                    all_spans[i].append((s, k, e, float(q)))
+            views = [view(t, s, e) for t, x in zip(texts, more) for s, _, e in x]
+            p = iter(model.probability(codes(views)) if views else [])
+            all_spans = [[(s, k, e, 1.0) for s, k, e in b] + kept(x, [next(p) for _ in x], model.threshold) for b, x in zip(base, more)]
             yield pd.Series([[{"kind": KINDS[k], "start": s, "end": e, "score": q} for s, k, e, q in sorted(x)] for x in all_spans])
 
     found = F.pandas_udf(spans, "array<struct<kind:string,start:int,end:int,score:double>>")
@@ -244,7 +250,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 more = candidates(t, base) if t else []
                 if more:
                     p = model.probability(codes([view(t, s, e) for s, _, e in more]))
-                    base = base + [x for x, q in zip(more, p) if q >= model.threshold]
+                    base = base + [x[:3] for x in kept(more, p, model.threshold)]
                 out.append(redact(t, [{"start": s, "end": e} for s, _, e in base]))
             yield pd.Series(out, dtype=object)
 
