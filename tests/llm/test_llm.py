@@ -270,6 +270,16 @@ def test_licences_and_inheritance(spark):
     assert licences.inherit(licences.own(df.limit(0))).count() == 0
 
 
+def test_licences_inside_lines_and_spdx():
+    df = {"the": 900, "license": 100, "licensed": 90, "version": 80, "under": 500, "mit": 400}
+    m = licences.Matcher(licences.TEMPLATES, df, 1000)
+    for name, text in licences.TEMPLATES:
+        for line in (f"Copyright 2024 Foo Inc. {text}", f"In all of this work, which we made with care, {text} Ask the authors for more.", text.replace(" ", "\n# ")):
+            assert m.best(f"some words of prose\n{line}\nand others") == (name, 1.0)
+    for found, text in (("MIT", "// SPDX-License-Identifier: MIT"), ("GPL-2.0", "# spdx-license-identifier: GPL-2.0-or-later"), ("Apache-2.0", "/* SPDX-License-Identifier: (Apache-2.0 OR MIT) */"), (None, "SPDX-License-Identifier: Foo-1.0"), (None, "no licence in this line of prose")):
+        assert m.best(text)[0] == found
+
+
 def test_cues_lose_no_match():
     df = {"the": 900, "license": 100, "licensed": 90, "version": 80, "under": 500}
     m = licences.Matcher(licences.TEMPLATES, df, 1000)

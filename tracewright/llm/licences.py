@@ -1,8 +1,11 @@
 """Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance down the directories.
 
-Units of a text are its runs of one to three lines, and the whole text (a licence file). A unit's terms weigh their
+Units of a text are its runs of one to three lines, the whole text (a licence file), and for each cue (see below) the
+terms around it that would be the template if the cue is the template's: as many before and behind as the template has,
+whatever the lines, so that a header after a notice or inside a sentence is a unit of its own. A unit's terms weigh their
 number times log(1 + N / (1 + documents with the term)), both counted over all documents; a term of no template has the
-greatest weight. The unit nearest to a template, at a cosine of ``LEAST`` or more, gives the document's own licence.
+greatest weight. The unit nearest to a template, at a cosine of ``LEAST`` or more, gives the document's own licence. An
+SPDX line with an identifier of the templates (the first one of an expression) names it outright, with score 1.
 
 A line matters only if it has a cue: of each template the commonest terms are set aside as long as they alone cannot
 give ``LEAST`` (their part of the template's length bounds the cosine), and the others are its cues.
@@ -44,12 +47,15 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("BSD-3-Clause", "Licensed under the 3-Clause BSD License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]+)", re.IGNORECASE)
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -64,6 +70,8 @@ class Matcher:
         self.weight = {t: math.log(1 + n_docs / (1 + df.get(t, 0))) for _, text in templates for t in terms(text)}
         self.other = math.log(1 + n_docs)
         self.vectors, self.by_term, self.cues = [], {}, set()
+        self.ids = {name.lower(): name for name, _ in templates}
+        self.places: dict[str, set[tuple[int, int]]] = {}  # of a cue: the terms before it in a template, and the template's number of terms
         for k, (name, text) in enumerate(templates):
             v = {t: n * self.weight[t] for t, n in Counter(terms(text)).items()}
             length = math.sqrt(sum(x * x for x in v.values())) or 1.0
@@ -74,6 +82,8 @@ class Matcher:
                 aside += (x / length) ** 2
                 if aside >= (LEAST - 1e-9) ** 2:
                     self.cues.add(t)
+                    own = terms(text)
+                    self.places.setdefault(t, set()).update((q, len(own)) for q, u in enumerate(own) if u == t)
 
     def cosine(self, unit: list[str]) -> tuple[float, int]:
         """The best (cosine, template)."""
@@ -90,10 +100,19 @@ class Matcher:
         return found[k] / math.sqrt(square), k
 
     def best(self, text: str | None) -> tuple[str | None, float]:
-        if not text or self.cues.isdisjoint(terms(text)):
+        if not text:
+            return None, 0.0
+        for m in SPDX.finditer(text) if "spdx" in text.lower() else ():
+            name = re.sub(r"(-only|-or-later|\+)$", "", m[1].lower().rstrip("."))
+            if name in self.ids:
+                return self.ids[name], 1.0
+        whole = terms(text)
+        if self.cues.isdisjoint(whole):
             return None, 0.0
         lines = [terms(line) for line in text.split("\n")]
-        units = [sum(lines, [])]
+        units = [whole]
+        at = {(max(0, i - q), i - q + n) for i, t in enumerate(whole) for q, n in self.places.get(t, ())}
+        units += [list(x) for x in {tuple(whole[a:b]) for a, b in at}]
         for i, line in enumerate(lines):
             if not self.cues.isdisjoint(line):
                 for size in range(1, LINES + 1):
