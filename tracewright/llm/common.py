@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import shared_dir, written  # noqa: F401
 
+BATCH_ROWS = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,6 +27,13 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows that pass to Python together, set to ``BATCH_ROWS`` where the session has Spark's own 10,000, which whole documents make too much for small executors."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) == 10_000:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(batches: Iterator[pd.DataFrame], text_col: str = "text", chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """The same rows in order, in frames of some ``chars`` characters (or one row), so that what a task makes of them stays small."""
     for b in batches:

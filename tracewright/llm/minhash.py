@@ -3,32 +3,35 @@
 A text is its sequence of words (runs of letters, digits and ``_``, small-cased); its k-mers are the runs of
 ``SHINGLE`` words, each labelled with how often it has occurred before in the text. Each of ``SKETCHES`` hash functions
 picks the ``PICK`` least labelled k-mers and keeps them in text order; texts that agree in one such tuple are
-candidates. Short texts have too few k-mers for that to find all pairs, so they have keys that do: of two texts with n1
-and n2 >= n1 k-mers, n1 up to ``SHORT``, a link has at least 0.8 n2 labelled k-mers in common, hence the first
-n - ceil(0.8 n) + t of each in one order of hashes have t in common, and each set of t of those is a key (``tuple_size``
-gives t for n1). Their similarity is that of the aligned k-mer sequences, m / (n1 + n2 - m) with m the longest common
-subsequence: for substituted, inserted and deleted words this is the Jaccard similarity of the k-mers, and moved text
+candidates. Candidates are aligned word by word: their similarity is m / (n1 + n2 - m), with m the longest common
+subsequence of their n1 and n2 words. It is 0.8 where one word in nine is another, or one in five is left out; moved text
 lowers it. One minus it is a metric, which is used below. Pairs of ``SIMILARITY`` or more are links; classes are the
 connected components of the links and of equal texts.
 
+Short texts have too few k-mers to be sure to share a tuple, so they have keys that find all pairs: of two linked texts
+with n1 and n2 >= n1 words, n1 up to ``SHORT``, at least 0.8 n2 labelled words are common to both, hence the first
+n - ceil(0.8 n) + t of each in one order of hashes have t in common, and each set of t of those is a key.
+
 Candidates are never paired all with all. Equal texts are one item from the start. In each bucket every member is
 compared with the bucket's least member (the pivot), which settles buckets of true copies with one comparison each. What
 is left are buckets whose members are then still in several classes: there, members that failed are compared with all
-those that the triangle inequality lets be near and that have not met in one class meanwhile. A bucket with more than
-``LEFTOVER_ROWS`` of them is first dealt to smaller ones, by a second tuple that its members must share; pairs of
-``SIMILARITY`` do so about as surely as they share the first. A bucket of short texts is dealt by their keys of one k-mer
-more, which such pairs surely share, up to ``DEEPER`` times.
+those that can be near to them by the metric's bounds and by counts of their words in hashed places, both of which lose
+nothing. A bucket of more than ``CELL_WORDS`` words is dealt to cells for that: linked texts lie in the same or
+in neighbouring classes of length, and each pair of blocks of such classes is one cell, so that every pair of the bucket
+meets in one cell and no task holds more than two blocks.
 
 Defined results: a null text is a class of its own (its row's id); empty texts, and texts without words, are classes by
-equal text; a text under ``SHINGLE`` words is one k-mer; repeated rows give repeated rows in one class; an empty table
-gives none; columns other than those named are not read.
+equal text; a text under ``SHINGLE`` words is one k-mer; repeated rows give repeated rows in one class; where ids repeat
+with other texts, the class's first row is the least id's with the least hash; an empty table gives none; columns other
+than those named are not read. Ids and item numbers never pass through Python.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
-from bisect import bisect_left
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,17 +40,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import slices, table, written
+from .common import small_batches, table, written
 
-SHINGLE, SIMILARITY, SKETCHES, PICK = 5, 0.8, 48, 7
+SHINGLE, SIMILARITY, SKETCHES, PICK = 5, 0.8, 40, 3
 #: Rows of a side that may be broadcast: some 30 MB of keys; above it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Of a bucket whose members are not all in one class, so many are settled in one task; more are dealt to smaller buckets.
-LEFTOVER_ROWS = 2_000
+#: Words of what is left of a bucket, up to which one task settles it; beyond, of a block of a class of length.
+CELL_WORDS = 200_000
 #: Members compared with one pivot in one task.
 SALT_ROWS = 2_000
-#: K-mers of the shorter text up to which candidates are complete, and how often a large bucket of such texts is dealt anew.
-SHORT, DEEPER = 40, 2
+#: Words of the shorter text up to which candidates are complete, and the size of the sets that are their keys.
+SHORT, SUBSET = 40, 4
 
 U = np.uint64
 
@@ -115,45 +118,38 @@ def labelled(grams: np.ndarray) -> np.ndarray:
 
 
 def least_common(n: int) -> int:
-    """K-mers that a text of ``n`` has in common with each that it is linked to."""
+    """Labelled words that a text of ``n`` words has in common with each that it is linked to."""
     return -int((1e-9 - n * SIMILARITY) // 1)
 
 
-def tuple_size(n: int, deeper: int) -> int:
-    """Size of the sets that are keys of pairs whose shorter text has ``n`` k-mers; longer texts have more to set aside."""
-    return min((4 if n <= 12 else 3 if n <= 24 else 2) + deeper, least_common(n))
-
-
 @functools.lru_cache(maxsize=None)
 def subsets(n: int, size: int) -> np.ndarray:
     return np.array(list(itertools.combinations(range(n), size)), dtype=np.int64)
 
 
-def short_keys(x: np.ndarray, deeper: int = 0) -> list[int]:
-    """Of labelled k-mers, keys of which any two linked texts share one if the shorter has up to ``SHORT``."""
-    n = len(x)
-    sizes = sorted({tuple_size(k, deeper) for k in range(least_common(n), min(n, SHORT) + 1)})
-    order = np.sort(mixed(x ^ U(0x5851F42D4C957F2D)))
-    out = []
-    for size in sizes:
-        picked = order[: n - least_common(n) + size]
-        picked = picked[subsets(len(picked), size)]
-        h = np.full(len(picked), (size + 16 * (deeper + 1)) * 0x632BE59BD9B4E019 & (1 << 64) - 1, dtype=U)
-        for j in range(size):
-            h = mixed(h * U(0x9E3779B97F4A7C15) + picked[:, j])
-        out += h.view(np.int64).tolist()
-    return out
+def short_keys(words: np.ndarray) -> list[int]:
+    """Keys of which any two linked texts share one if the shorter has up to ``SHORT`` words."""
+    n = len(words)
+    if least_common(n) > SHORT:
+        return []
+    size = min(SUBSET, least_common(n))  # the same for any two that can be linked
+    picked = np.sort(mixed(labelled(words) ^ U(0x5851F42D4C957F2D)))[: n - least_common(n) + size]
+    picked = picked[subsets(len(picked), size)]
+    h = np.full(len(picked), (size + 16) * 0x632BE59BD9B4E019 & (1 << 64) - 1, dtype=U)
+    for j in range(size):
+        h = mixed(h * U(0x9E3779B97F4A7C15) + picked[:, j])
+    return h.view(np.int64).tolist()
 
 
-def sketch(text: str) -> tuple[list[int], list[int]]:
-    """``SKETCHES`` hashes of ordered tuples, and the keys of a short text; none for a text without words."""
-    x = labelled(kmers(word_hashes(text)))
-    if not len(x):
-        return [], []
-    keys = short_keys(x)
-    if len(x) <= least_common(SHORT):  # all that it can be linked to have such keys
-        return [], keys
-    return tuples(x), keys
+def sketch(text: str) -> tuple[int, list[int]]:
+    """The number of words, and the hashes of ordered tuples and the keys of short texts; none for a text without words."""
+    words = word_hashes(text)
+    if not len(words):
+        return 0, []
+    keys = short_keys(words)
+    if len(words) > least_common(SHORT):  # all that a shorter one can be linked to have such keys
+        keys = keys + tuples(labelled(kmers(words)))
+    return len(words), sorted(set(keys))
 
 
 def tuples(x: np.ndarray) -> list[int]:
@@ -178,12 +174,33 @@ def tuples(x: np.ndarray) -> list[int]:
     return h.view(np.int64).tolist()
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Of two k-mer sequences; exact where it is at least ``least``, and below ``least`` where it is below."""
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Words common to both, each as often as it is in both: no less than the alignment has."""
+    (v, n), (w, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(v, w, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
+def aligned(x: list[int], y: list[int], band: int) -> int:
+    """The longest common subsequence within ``band`` of the diagonal; a bit of ``free`` for each place of y."""
+    where: dict[int, int] = {}
+    for j, v in enumerate(y):
+        where[v] = where.get(v, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    free, window = full, (1 << 2 * band + 1) - 1
+    for i, v in enumerate(x):
+        if v in where:
+            near = i - band
+            hit = free & where[v] & (window << near if near >= 0 else window >> -near)
+            free = (free + hit | free - hit) & full
+    return len(y) - free.bit_count()
+
+
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY - 1e-9) -> float:
+    """Of two word sequences: exact where it is at least ``least``; below it, a bound that it does not exceed."""
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < least * max(n, m):
-        return 0.0
-    head = 0
+        return min(n, m) / max(n, m, 1)
     k = min(n, m)
     same = a[:k] == b[:k]
     head = k if same.all() else int(same.argmin())
@@ -191,67 +208,69 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     same = a[n - k :][::-1] == b[m - k :][::-1]
     tail = k if k == 0 or same.all() else int(same.argmin())
     x, y = a[head : n - tail], b[head : m - tail]
-    band = int((n + m) * (1 - least) / (1 + least)) + 1
     common = head + tail
-    most = common + min(int(np.isin(x, y).sum()), int(np.isin(y, x).sum())) if len(x) and len(y) else common
+    most = common + (in_common(x, y) if len(x) and len(y) else 0)
     if most / (n + m - most) < least:
         return most / (n + m - most)
     if len(x) and len(y):
-        where: dict[int, list[int]] = {}
-        for j, v in enumerate(y.tolist()):
-            where.setdefault(v, []).append(j)
-        ends: list[int] = []  # of the common subsequences of each length, the least last place
-        for i, v in enumerate(x.tolist()):
-            for j in reversed(where.get(v, ())):
-                if -band <= i - j <= band:
-                    k = bisect_left(ends, j)
-                    ends[k : k + 1] = [j]
-        common += len(ends)
-    return common / (n + m - common)
-
-
-def salted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with both texts. A pivot b with many partners is copied to several partitions, each with a part of them."""
-    hot = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    pivots = texts.withColumnRenamed("key", "b").join(hot, "b").select("b", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    counts = pairs.join(hot, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
-    sided = counts.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    return sided.join(pivots, ["b", "salt"]).select("a", "b", "text_a", "text_b")
+        common += aligned(x.tolist(), y.tolist(), int((n + m) * (1 - least) / (1 + least)) + 1)
+    found = common / (n + m - common)
+    return found if found >= least else least - 1e-9
 
 
-def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs with their distance, exact up to twice the greatest of a link; what is farther has that bound."""
-    grams = functools.lru_cache(maxsize=1024)(lambda t: kmers(word_hashes(t)))
-    floor = 1 - 2 * (1 - SIMILARITY)
-    for part in slices(batches, "text_a"):
-        d = [min(1 - similarity(grams(x), grams(y), floor), 1 - floor) for x, y in zip(part["text_a"], part["text_b"])]
-        yield pd.DataFrame({"a": part["a"], "b": part["b"], "d": d})
+def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Distances: exact up to that of a link, else a bound that the distance is not under."""
+    words = functools.lru_cache(maxsize=256)(word_hashes)
+    for a, b in batches:
+        yield pd.Series([1 - similarity(words(x), words(y)) for x, y in zip(a, b)], dtype=float)
 
 
 def settle(group: pd.DataFrame) -> pd.DataFrame:
-    """Links between the classes of one bucket: its members that failed against the pivot, each with all that can be near."""
+    """Links between the classes in one cell of a bucket: members that failed against the pivot, each with all that can be near.
+
+    In a cell of two blocks (``side`` 0 and 1) only members of different blocks are compared; ``side`` is -1 where all are.
+    Two members that meet in several buckets (``bands``) are compared in the least of them.
+    """
     near = 1 - SIMILARITY + 1e-9
-    group = group.sort_values(["d", "key"], ignore_index=True)
-    d, failed, key = group["d"].to_numpy(), group["failed"].to_numpy(bool), list(group["key"])
-    index = {c: i for i, c in enumerate(group["root"].unique())}
-    parent, own = list(range(len(index))), [index[c] for c in group["root"]]
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    grams = functools.lru_cache(maxsize=None)(lambda i: kmers(word_hashes(group["text"][i])))
-    links = []
+    group = group.sort_values(["d", "item"], ignore_index=True)
+    d, failed, item, side, n = group["d"].to_numpy(), group["failed"].to_numpy(bool), group["item"].to_numpy(np.int64), group["side"].to_numpy(), group["n"].to_numpy()
+    texts, bands, band = list(group["text"]), [set(x.tolist()) for x in group["bands"]], int(group["band"].iloc[0])
+    # The commonest buckets that come before this one, as bits: members that share one meet there.
+    before = Counter(x for b in bands for x in b if x < band)
+    bit = {x: 1 << k for k, (x, times) in enumerate(before.most_common(63)) if times > 1}
+    met = np.array([sum(bit.get(x, 0) for x in b) for b in bands], dtype=np.int64)
+    root = np.unique(group["root"], return_inverse=True)[1]
+    at, links = np.arange(len(d)), []
+    words: list[np.ndarray | None] = [None] * len(d)
+    fine, rough = np.zeros((len(d), 1024), dtype=np.int32), np.zeros((len(d), 64), dtype=np.int32)
     for f in np.flatnonzero(failed):
-        can = (np.abs(d - d[f]) <= near) & (~failed | (np.arange(len(d)) > f))
-        for i in np.flatnonzero(can):
-            x, y = find(own[f]), find(own[i])
-            if x != y and similarity(grams(f), grams(i), SIMILARITY - 1e-9) >= SIMILARITY - 1e-9:
-                parent[x] = y
-                links.append((key[f], key[i]))
-    return pd.DataFrame(links, columns=["a", "b"])
+        can = np.where(failed, at > f, d[f] - d <= near) & ((side < 0) | (side != side[f])) & (met & met[f] == 0) & (root != root[f])
+        some = np.flatnonzero(can & (np.minimum(n, n[f]) >= (SIMILARITY - 1e-9) * np.maximum(n, n[f])))
+        for i in (*some, f) if len(some) else ():
+            if words[i] is None:
+                words[i] = word_hashes(texts[i])
+                fine[i] = np.bincount((words[i] & U(1023)).astype(np.int64), minlength=1024)
+                rough[i] = fine[i].reshape(64, 16).sum(1)
+        for counts in (rough, fine):
+            some = some[np.abs(counts[some] - counts[f]).sum(1) <= (n[some] + n[f]) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6]
+        for i in some:
+            if root[i] != root[f] and min(bands[f] & bands[i]) == band and similarity(words[f], words[i]) >= SIMILARITY - 1e-9:
+                root[root == root[i]] = root[f]
+                links.append((item[f], item[i]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def salted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with both texts. A pivot b with many partners is copied to several partitions, each with a part of them."""
+    hot = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > SALT_ROWS).select("b", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    hot = written(hot, "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    salts = F.coalesce("salts", F.lit(1))
+    pivots = pairs.select("b").distinct().join(hot, "b", "left").join(texts.select(F.col("item").alias("b"), F.col("text").alias("text_b")), "b")
+    pivots = pivots.select("b", "text_b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"))
+    sided = dealt.join(texts.select(F.col("item").alias("a"), F.col("text").alias("text_a")), "a")
+    return sided.join(pivots, ["b", "salt"]).select("a", "b", "text_a", "text_b")
 
 
 def rooted(df: DataFrame, label: DataFrame, key: str, root: str) -> DataFrame:
@@ -260,81 +279,89 @@ def rooted(df: DataFrame, label: DataFrame, key: str, root: str) -> DataFrame:
     return found.withColumn(root, F.coalesce(root, key))
 
 
-def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     """The classes (node, root) once ``links`` (a, b) are added to those of ``label``."""
-    if label is None:
-        return written(components(links), "classes")
     if links.isEmpty():
         return label
     roots = rooted(rooted(links, label, "a", "x"), label, "b", "y").where("x <> y").select("x", "y")
     new = written(components(roots, "x", "y"), "roots")
     moved = label.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return written(moved.unionByName(new.join(label.select("node"), "node", "left_anti")), "classes")
+    return moved.unionByName(new.join(label.select("node"), "node", "left_anti"))
+
+
+def cells(left: DataFrame) -> DataFrame:
+    """``left`` (band, item, n, ...) with ``cell`` and ``side``: the cells in which what is left of a bucket is settled."""
+    words = left.groupBy("band").agg(F.sum("n").alias("words"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band", "words")
+    left = left.join(words, "band")
+    none = F.array(F.lit(-1), F.lit(-1), F.lit(-1), F.lit(-1))
+    small = left.where(F.col("words") <= CELL_WORDS).drop("words").withColumn("cell", none).withColumn("side", F.lit(-1))
+    large = left.where(F.col("words") > CELL_WORDS).drop("words").withColumn("size", F.floor(F.log(F.col("n")) / math.log(1.01 / SIMILARITY)).cast("int"))
+    blocks = large.groupBy("band", "size").agg(F.ceil(F.sum("n") / CELL_WORDS).cast("int").alias("blocks"))
+    beside = lambda step, name: blocks.select("band", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))
+    large = large.join(blocks, ["band", "size"]).join(beside(1, "above"), ["band", "size"], "left").join(beside(-1, "below"), ["band", "size"], "left")
+    large = large.withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    size, block = F.col("size"), F.col("block")
+    met = F.concat(
+        F.transform(upto("blocks"), lambda j: F.array(size, F.least(block, j), size, F.greatest(block, j))),
+        F.transform(upto("above"), lambda j: F.array(size, block, size + 1, j)),
+        F.transform(upto("below"), lambda j: F.array(size - 1, j, size, block)),
+    )
+    large = large.withColumn("cell", F.explode(met))
+    first = (F.col("cell")[0] == size) & (F.col("cell")[1] == block)
+    alone = (F.col("cell")[0] == F.col("cell")[2]) & (F.col("cell")[1] == F.col("cell")[3])
+    large = large.withColumn("side", F.when(alone, -1).when(first, 0).otherwise(1))
+    return small.unionByName(large.select(*small.columns))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: its id, ``key`` (of the text, null for a null text) and ``class_id``, the least id of its class."""
+    """One row for each row of ``docs``: its id, ``key`` (of the text, null for a null text), ``class_id``, the least id of its class, and ``first``, whether its id and text are those that stand for the class."""
+    small_batches(docs.sparkSession)
     near = 1 - SIMILARITY + 1e-9
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.md5(text_col)).alias("key"))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in slices(batches):
-            found = [sketch(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "key": b["key"], "bands": [x for x, _ in found], "short": [x for _, x in found]})
-
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in slices(batches):
-            new = [short_keys(labelled(kmers(word_hashes(t))), d + 1) for t, d in zip(b["text"], b["deeper"])]
-            yield pd.DataFrame({"old": b["band"], "key": b["key"], "deeper": b["deeper"] + 1, "other": new})
-
-    # One item for each text: the least id that has it, and its sketch.
-    items = written(
-        rows.where("text is not null").mapInPandas(sketched, f"id {kind}, key binary, bands array<bigint>, short array<bigint>").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("short").alias("short")), "items"
-    )
-    # ``deeper`` says how often a bucket of short texts was dealt anew; it is -1 for those of sketches.
-    members = items.select("key", F.explode("bands").alias("band"), F.lit(-1).alias("deeper")).unionByName(items.select("key", F.explode("short").alias("band"), F.lit(0).alias("deeper")))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = written(members.join(shared, "band").select("band", "key", "deeper"), "members")
 
-    needed = written(members.select("key").distinct().join(items.select("key", "id"), "key"), "needed")
+    @F.pandas_udf("n int, bands array<bigint>")
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [sketch(t) for t in texts]
+            yield pd.DataFrame({"n": [n for n, _ in found], "bands": [b for _, b in found]})
+
+    # One item for each text: the row with the least id that has it.
+    copies = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    copies = written(copies.where("copies > 1"), "copies")
+    few = copies.count() <= BROADCAST_ROWS
+    first = rows.where("text is not null").join(F.broadcast(copies) if few else copies, "key", "left").where(F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("least")))
+    items = first.select("id", "key", "text", sketched("text").alias("s")).select(F.monotonically_increasing_id().alias("item"), "id", "key", "text", "s.n", "s.bands")
+    items = written(items, "items")
+
+    members = items.select(F.explode("bands").alias("band"), "item")
+    pivots = members.groupBy("band").agg(F.min("item").alias("b"), F.count("*").alias("members")).where("members > 1").select("band", "b")
+    star = written(members.join(pivots, "band").select("band", F.col("item").alias("a"), "b"), "star")
+    pairs = written(star.where("a <> b").select("a", "b").distinct(), "pairs")
+    needed = written(pairs.select(F.col("a").alias("item")).unionByName(pairs.select(F.col("b").alias("item"))).distinct(), "needed")
     few = needed.count() <= BROADCAST_ROWS
-    hit = (F.broadcast(needed) if few else needed).select("key", F.col("id").alias("first_id"))
-    texts = written(rows.where("text is not null").join(hit, (rows["key"] == hit["key"]) & rows["id"].eqNullSafe(hit["first_id"])).select(rows["key"], "text").dropDuplicates(["key"]), "texts")
-
-    active, label, tried = members, None, None
-    while True:
-        pivots = active.groupBy("band").agg(F.min("key").alias("b"))
-        star = written(active.join(pivots, "band").select("band", "deeper", F.col("key").alias("a"), "b"), "star")
-        pairs = star.where("a <> b").select("a", "b").distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = written(salted(pairs, texts).mapInPandas(compare, "a binary, b binary, d double"), "compared")
-        label = merged(label, found.where(F.col("d") <= near))
-        tried = found if tried is None else tried.unionByName(found)
-        # Buckets of more than one class: members that failed, and those that passed and can be near to one that failed.
-        judged = star.join(tried, ["a", "b"], "left").select("band", "deeper", "a", F.coalesce("d", F.lit(0.0)).alias("d"))
-        judged = rooted(judged, label, "a", "root").withColumn("failed", F.col("d") > near)
-        mixed_ = judged.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min(F.when(F.col("failed"), F.col("d"))).alias("nearest")).where("r <> s")
-        left = judged.join(mixed_.select("band", "nearest"), "band").where(F.col("failed") | (F.col("d") >= F.col("nearest") - near))
-        left = written(left.withColumnRenamed("a", "key").select("band", "deeper", "key", "d", "failed", "root"), "left")
-        sizes = left.groupBy("band", "deeper").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
-        now = (F.col("n") <= LEFTOVER_ROWS) | (F.col("deeper") >= DEEPER)
-        small = left.drop("deeper").join(sizes.where(now).select("band"), "band").join(texts, "key")
-        label = merged(label, written(small.groupBy("band").applyInPandas(settle, "a binary, b binary"), "settled"))
-        large = left.join(sizes.where(~now).select("band"), "band")
-        if large.isEmpty():
-            break
-        # Members of a large bucket meet again where they agree in another tuple too, as texts that are near do.
-        again = large.where("deeper < 0").select(F.col("band").alias("old"), "key", "deeper").join(items.select("key", F.explode("bands").alias("other")), "key").where("old <> other")
-        short = large.where("deeper >= 0").select("band", "key", "deeper").join(texts, "key").mapInPandas(dealt, "old bigint, key binary, deeper int, other array<bigint>")
-        again = again.unionByName(short.withColumn("other", F.explode("other")))
-        again = written(again.select(F.xxhash64("old", "other").alias("band"), "key", "deeper").distinct(), "members")
-        active = again.join(again.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band")
-
-    label = label.withColumnRenamed("node", "key")
-    least = label.join(items.select("key", "id"), "key").groupBy("root").agg(F.min("id").alias("class_id"))
-    of_key = items.select("key", "id").join(label, "key", "left").join(least, "root", "left").select("key", F.coalesce("class_id", "id").alias("class_id"))
-    return rows.select("id", "key").join(of_key, "key", "left").select(F.col("id").alias(id_col), "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    texts = items.select("item", "n", "text").join(F.broadcast(needed) if few else needed, "item", "left_semi")
+    found = written(salted(pairs, texts).select("a", "b", F.pandas_udf(compare, "double")("text_a", "text_b").alias("d")), "compared")
+    label = written(components(found.where(F.col("d") <= near)), "classes")
+
+    # Buckets of more than one class: members that failed, and those that passed and can be near to one that failed.
+    judged = star.join(found, ["a", "b"], "left").select("band", F.col("a").alias("item"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    judged = rooted(judged, label, "item", "root").withColumn("failed", F.col("d") > near)
+    mixed_ = judged.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min(F.when(F.col("failed"), F.col("d"))).alias("nearest")).where("r <> s").select("band", "nearest")
+    left = judged.join(mixed_, "band").where(F.col("failed") | (F.col("d") >= F.col("nearest") - near)).select("band", "item", "d", "failed", "root")
+    left = left.join(left.groupBy("item").agg(F.collect_list("band").alias("bands")), "item")  # at most as many as keys of a text
+    left = written(left.join(items.select("item", "n"), "item"), "left")
+    met = cells(left).join(texts.select("item", "text"), "item")
+    links = written(met.groupBy("band", "cell").applyInPandas(settle, "a long, b long"), "settled")
+    label = merged(label, links)
+
+    ids = items.select("item", "id", "key").join(label.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
+    least = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    of_key = ids.join(least, "root").groupBy("key").agg(F.min("first").alias("first"))
+    return rows.select("id", "key").join(of_key, "key", "left").select(
+        F.col("id").alias(id_col), "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
+        F.col("key").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))).alias("first"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,13 +369,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the row with the class's least id (one of them, if rows repeat)."""
+    """One document of each class: the row that stands for it (one of them, if rows repeat)."""
     found = written(classes(docs), "found")
-    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct(), "gone")
+    gone = written(found.where("not first").select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS
     kept = docs.withColumn("__key", F.unhex(F.md5("text")))
     kept = kept.join(F.broadcast(gone) if few else gone, kept["doc_id"].eqNullSafe(F.col("__gone_id")) & kept["__key"].eqNullSafe(F.col("__gone_key")), "left_anti")
-    again = found.where("key is not null").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
+    again = found.where("key is not null and first").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
     if not again:  # rows that repeat an id and a text: one of them stays
         null_text = kept.where("__key is null")
         kept = kept.where("__key is not null").dropDuplicates(["doc_id", "__key"]).unionByName(null_text)
