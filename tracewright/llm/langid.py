@@ -8,6 +8,9 @@ scaling on rows held back from fitting; the score is the family's probability ti
 The machines are fitted on at most ``SAMPLE`` labelled rows in all, an equal bound for each label, taken by the order of
 a hash of the id. That bound is the only one; every row is predicted from its whole text.
 
+A text whose n-grams are on the whole much rarer than those of any sampled row belongs to no learned language: its score
+is 0, and the pipeline's first stage rejects it.
+
 Defined results: ``und`` with score 0 for a null text, a text without letters, and where nothing was learned; repeated
 rows give repeated rows; equal texts get equal results; an empty table gives none; labels of one language only predict
 that language; columns other than those named are not read.
@@ -24,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, table
+from .common import remainder, small_batches, table
 
 SAMPLE, BUCKETS, PIECE = 1600, 1 << 13, 1 << 17
+#: How far under the lowest of the sample, in distances of that from the sample's median, a text's mean must lie to be strange.
+STRANGE = 1.0
 UND = "und"
 #: Family of a language by its ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -54,35 +59,36 @@ def letters() -> np.ndarray:
 
 
 def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket of each n-gram, index of its text) for all n-grams, some ``PIECE`` characters at a time."""
-    todo: list[tuple[int, str]] = []
-    size = 0
+    """(bucket of each n-gram, index of its text) for all n-grams, each once, some ``PIECE`` characters at a time."""
+    code, owner, size = [np.zeros(2, np.uint32)], [np.zeros(2, np.int64)], 0
     for i, t in enumerate(texts):
-        t = t or ""
-        for start in range(0, max(len(t), 1), PIECE):
-            part = t[max(0, start - 2) : start + PIECE]
-            todo.append((i, part))
+        low = (t or "").lower()
+        for start in range(0, len(low) + 1, PIECE):
+            part = letters()[np.frombuffer((low[start : start + PIECE]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+            if start + PIECE > len(low):
+                part = np.append(part, np.uint32(0))
+            code.append(part)
+            owner.append(np.full(len(part), i))
             size += len(part)
             if size >= PIECE:
-                yield grams(todo)
-                todo, size = [], 0
-    if todo:
-        yield grams(todo)
-
-
-def grams(todo: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    flat = " ".join(["", *(t.lower() for _, t in todo), ""])
-    code = letters()[np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    owner = np.repeat(np.array([i for i, _ in todo]), [len(t.lower()) + 1 for _, t in todo])
-    owner = np.concatenate([owner, owner[-1:]])[: len(code)]
-    keep = np.concatenate([[True], (code[1:] != 0) | (code[:-1] != 0)])  # a run of other characters is one
+                found, rest = grams(np.concatenate(code), np.concatenate(owner))
+                yield found
+                code, owner, size = [rest[0]], [rest[1]], 0
+    if size:
+        yield grams(np.concatenate(code), np.concatenate(owner))[0]
+
+
+def grams(code: np.ndarray, owner: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The n-grams around all code points but the first and the last, and the last two, with which the next piece begins."""
+    keep = np.concatenate([[True, True], (code[2:] != 0) | (code[1:-1] != 0)])  # a run of other characters is one
     code, owner = code[keep], owner[keep]
     a, b, c = (code[k : len(code) - 2 + k] for k in range(3))
-    own = owner[1 : len(code) - 1]
+    own, after = owner[1:-1], owner[2:]
     mix = lambda *x: functools.reduce(lambda h, v: (h ^ v) * np.uint32(0x9E3779B1) ^ (h >> np.uint32(15)), x, np.full(len(a), len(x), np.uint32)) >> np.uint32(19)
-    whole, two = b != 0, (b != 0) & (c != 0) | (b != 0) | (c != 0)
+    whole, two = b != 0, (b != 0) | (c != 0)
     ids = np.concatenate([mix(b)[whole], mix(b, c)[two], mix(a, b, c)[whole]])
-    return (ids % np.uint32(BUCKETS)).astype(np.int64), np.concatenate([own[whole], own[two], own[whole]])
+    found = (ids % np.uint32(BUCKETS)).astype(np.int64), np.concatenate([own[whole], np.where(b != 0, own, after)[two], own[whole]])
+    return found, (code[-2:], owner[-2:])
 
 
 def vectors(texts: list[str | None]) -> np.ndarray:
@@ -123,6 +129,10 @@ class Model:
         self.families = sorted({family(v) for v in self.langs})
         self.columns: list[tuple[str, str, str]] = [("family", f, "") for f in self.families if len(self.families) > 1]
         self.columns += [("pair", a, b) for i, a in enumerate(self.langs) for b in self.langs[i + 1 :] if family(a) == family(b)]
+        #: Of each n-gram, the logarithm of its share in the sample; of a text their mean, which is low for what no language here has.
+        self.common = np.log(x.mean(0, dtype=np.float64) + 1e-6).astype(np.float32) if len(x) else np.zeros(BUCKETS, np.float32)
+        known = np.sort((x @ self.common) / np.maximum(x.sum(1), 1e-9)) if len(x) else np.zeros(1)
+        self.least = float(known[0] - STRANGE * (known[len(known) // 2] - known[0]))
         spread = x.std(0) + 1e-4 if len(x) else np.ones(BUCKETS)
         scaled = (x / spread / 30).astype(np.float32) if len(x) else x
         back = np.arange(len(langs)) % 5 == 0
@@ -138,13 +148,14 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         n = len(texts)
-        total, count = np.zeros((n, len(self.columns))), np.zeros(n)
+        total, count, common = np.zeros((n, len(self.columns))), np.zeros(n), np.zeros(n)
         for ids, own in pieces(texts):
             order = np.argsort(own, kind="stable")
             ids, own = ids[order], own[order]
             if len(own):
                 first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 count[own[first]] += np.diff(np.r_[first, len(own)])
+                common[own[first]] += np.add.reduceat(self.common[ids].astype(np.float64), first)
                 if self.columns:
                     total[own[first]] += np.add.reduceat(self.w[ids], first, axis=0)
         p = total / np.maximum(count, 1)[:, None] + self.bias
@@ -171,12 +182,14 @@ class Model:
             best = votes.argmax(1)
             lang_out[at] = np.array(own, dtype=object)[best]
             score[at] = fam_p[at, f] * least[np.arange(len(at)), best]
-        return list(lang_out), np.clip(score, 0, 1)
+        strange = common / np.maximum(count, 1) < self.least
+        return list(lang_out), np.clip(np.where(strange, 0, score), 0, 1)
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` rows; null labels and null texts are left out."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    small_batches(labelled.sparkSession)
+    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not counts:
         return Model(np.zeros((0, BUCKETS), dtype=np.float32), np.array([], dtype=object))
@@ -193,23 +206,24 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             for i in range(0, len(whole), 64):
                 b = whole.iloc[i : i + 64]
                 x = vectors(list(b["text"])).astype(np.float16)
-                yield pd.DataFrame({"rank": b["rank"], "id": b["id"].astype(str), "lang": b["lang"], "x": [v.tobytes() for v in x]})
+                yield pd.DataFrame({"rank": b["rank"], "id": b["id"], "lang": b["lang"], "x": [v.tobytes() for v in x]})
 
     schema = T.StructType.fromDDL("rank double, id string, lang string, x binary")
     got = some.mapInPandas(count, schema).collect()
     kept: dict[str, int] = {}
     use = []
-    for r in sorted(got, key=lambda r: (r["lang"], r["rank"], r["id"])):
+    for r in sorted(got, key=lambda r: (r["lang"], r["rank"], r["id"] or "")):
         kept[r["lang"]] = kept.get(r["lang"], 0) + 1
         if kept[r["lang"]] <= each:
             use.append(r)
-    use.sort(key=lambda r: (r["rank"], r["id"], r["lang"]))
+    use.sort(key=lambda r: (r["rank"], r["id"] or "", r["lang"]))
     x = np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in use]).astype(np.float32)
     return Model(x, np.array([r["lang"] for r in use], dtype=object))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (columns of these names are replaced)."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score, under ``names`` (columns of these names are replaced)."""
+    small_batches(docs.sparkSession)
 
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -217,8 +231,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
     udf = F.pandas_udf(found, "lang_pred string, score double")
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*keep, udf(text_col).alias("__found")).select(*keep, "__found.lang_pred", "__found.score")
+    keep = [c for c in docs.columns if c not in names]
+    return docs.select(*keep, udf(text_col).alias("__found")).select(*keep, F.col("__found.lang_pred").alias(names[0]), F.col("__found.score").alias(names[1]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,11 +242,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
-#: The pipeline's first stage rejects what has no letters and what no learned language claims with this score.
-LEAST = 0.1
-
-
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in a language that was learned; ``und`` and scores under ``LEAST`` go."""
+    """The documents in a language that was learned: ``und`` goes, and what is strange to all languages (score 0)."""
     model = fit(docs.where(remainder("doc_id", 3) != 1))
-    return predict(docs, model).where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST)).select(*docs.columns)
+    found = predict(docs, model, names=("__lang_pred", "__score"))
+    return found.where((F.col("__lang_pred") != UND) & (F.col("__score") > 0)).select(*docs.columns)
