@@ -1,7 +1,8 @@
 """Benchmark decontamination: test items in a BM25 inverted index, searched by every passage of the training texts.
 
 A training text's passages are windows of twice ``stride`` words at every ``stride`` words, with ``stride`` the longest
-item (at least 64 words), so that each place where an item can stand lies whole in one passage. The passage's distinct
+item (at least 64 words), so that each place where an item can stand lies whole in one passage. An item of more than
+``LONG`` words is several entries of the index, even pieces of it, so that no item makes the passages longer than that. The passage's distinct
 words query the index; impacts are divided by what the item scores against itself, and all items at ``THRESHOLD`` or
 above are retrieved by block-max WAND. Most passages cannot reach any item: of each item the commonest words, up to half
 of the threshold in impact, are set aside, and a passage whose other words cannot make up the rest is ruled out for all
@@ -9,13 +10,15 @@ passages of a batch at once, before the search proper.
 
 A retrieved item counts when the passage holds ``OVERLAP`` of its word 5-grams, and ``PART`` of those of its question
 and of its answer: the question ends with the first '?', or else with the first half of the words. An item or part of fewer
-than 5 words is one k-mer of its own length, looked for among the passage's k-mers of that length.
+than 5 words is one k-mer of its own length, looked for among the passage's k-mers of that length. Of an item in pieces,
+pieces found count with their overlaps, pieces not found with none, and the item's three shares are the means over its
+pieces, over those that begin in its question, and over the others.
 
-The index is held by every task, so its size is bounded: at most ``SHARD_ITEMS`` items at a time, and a larger benchmark
-takes a pass over the texts for each such part. Word frequencies and lengths are those of all items either way.
+The index is held by every task, so its size is bounded: about ``SHARD_ITEMS`` items or ``SHARD_CHARS`` characters at a
+time, and a larger benchmark takes a pass over the texts for each such part. Word frequencies and lengths are those of all items either way.
 
 Defined results: null texts, empty texts and texts without words match nothing; items without words are left out;
-repeated items and repeated rows are each reported; an empty table gives no rows; columns other than those named are not
+repeated items and repeated rows are each reported; a null item id is reported as null; an empty table gives no rows; columns other than those named are not
 read.
 """
 
@@ -31,11 +34,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import slices, small_batches, table, written
 from .minhash import SHINGLE, kmers, word_hashes
 
 THRESHOLD, OVERLAP, PART = 0.6, 0.8, 0.5
-K1, B, BLOCK, SHARD_ITEMS, LEAST_STRIDE = 1.2, 0.75, 32, 20_000, 64
+K1, B, BLOCK, SHARD_ITEMS, SHARD_CHARS, LEAST_STRIDE, LONG = 1.2, 0.75, 32, 20_000, 20_000_000, 64, 256
 U = np.uint64
 
 
@@ -44,11 +47,13 @@ def sized(words: np.ndarray) -> tuple[int, np.ndarray]:
     return min(SHINGLE, len(words)), kmers(words)
 
 
-def parts_of(text: str) -> tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]:
-    """k-mers of the question and of the answer."""
+def entries(text: str) -> list[tuple[np.ndarray, bool, int]]:
+    """Of an item: the words of each piece, whether the piece begins in the question, and how many of its words are the question's."""
     words = word_hashes(text)
     cut = len(word_hashes(text[: text.index("?") + 1])) if "?" in text else (len(words) + 1) // 2
-    return sized(words[:cut]), sized(words[cut:])
+    n = -(-len(words) // LONG)
+    edges = [len(words) * k // n for k in range(n + 1)] if n else []
+    return [(words[a:b], a < cut, min(max(cut - a, 0), b - a)) for a, b in zip(edges, edges[1:])]
 
 
 class Index:
@@ -56,12 +61,22 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean_len: float, stride: int):
         self.stride = stride
-        kept = [(i, w, t) for i, t in items if len(w := word_hashes(t))]
-        self.ids = [i for i, _, _ in kept]
-        self.grams = [sized(w) for _, w, _ in kept]
-        self.parts = [parts_of(t) for _, _, t in kept]
+        self.ids, self.grams, self.parts, self.item, self.asks, kept = [], [], [], [], [], []
+        for i, text in items:
+            found = entries(text)
+            for words, asks, cut in found:
+                kept.append(words)
+                self.item.append(len(self.ids))
+                self.asks.append(asks)
+                self.grams.append(sized(words))
+                self.parts.append((sized(words[:cut]), sized(words[cut:])))
+            if found:
+                self.ids.append(i)
+        #: Of each item: its pieces, and those that begin in its question.
+        self.pieces = np.bincount(self.item, minlength=len(self.ids)) if self.item else np.zeros(0, dtype=int)
+        self.asking = np.bincount(self.item, self.asks, minlength=len(self.ids)) if self.item else np.zeros(0)
         rows, cols, impact = [], [], []
-        for col, (_, words, _) in enumerate(kept):
+        for col, words in enumerate(kept):
             term, tf = np.unique(words, return_counts=True)
             n = np.array([df[int(x)] for x in term.view(np.int64)], dtype=float)
             w = np.log1p((n_items - n + 0.5) / (n + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_len))
@@ -99,7 +114,7 @@ class Index:
 
     def passages(self, half: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Of the half passages, numbered so that a text's follow each other, the first halves of passages that can reach an item."""
-        n = len(self.ids)
+        n = len(self.item)
         pair = np.unique(half * len(self.terms) + term)
         half, term = pair // len(self.terms), pair % len(self.terms)
         reach = self.e_start[term + 1] - self.e_start[term]
@@ -183,8 +198,18 @@ class Index:
                 whole, question, answer = self.overlaps(col, grams)
                 if whole >= OVERLAP and question >= PART and answer >= PART:
                     best[i, col] = max(best.get((i, col), (0.0,)), (whole, score, question, answer))
-        for (i, col), (whole, score, question, answer) in sorted(best.items()):
-            out[i].append((self.ids[col], score, whole, question, answer))
+        joint: dict[tuple[int, int], list[tuple]] = {}
+        for (i, col), shares in sorted(best.items()):
+            joint.setdefault((i, self.item[col]), []).append((col, *shares))
+        for (i, item), found in joint.items():
+            n, asking = self.pieces[item], self.asking[item]
+            whole, score = (sum(x[k] for x in found) / n for k in (1, 2))
+            question, answer = found[0][3:]
+            if n > 1:
+                question = sum(x[1] for x in found if self.asks[x[0]]) / max(asking, 1)
+                answer = sum(x[1] for x in found if not self.asks[x[0]]) / (n - asking) if n > asking else 1.0
+            if whole >= OVERLAP and question >= PART and answer >= PART:
+                out[i].append((self.ids[item], float(score), float(whole), float(question), float(answer)))
         return out
 
 
@@ -194,43 +219,45 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
-            for i, t in zip(b["id"], b["text"]):
-                w = word_hashes(t)
-                yield pd.DataFrame({"term": np.unique(w).view(np.int64), "words": 0, "items": 1})
-                yield pd.DataFrame({"term": [0], "words": [len(w)], "items": [0]})
+            for t in b["text"]:
+                yield pd.DataFrame({"term": np.concatenate([np.unique(w) for w, *_ in entries(t)] or [np.zeros(0, dtype=U)]).view(np.int64), "items": 1})
 
-    by_term = written(rows.mapInPandas(count, "term long, words long, items long").groupBy("term").agg(F.sum("items").alias("df"), F.sum("words").alias("words")), "terms")
-    total = rows.mapInPandas(lambda it: (pd.DataFrame({"n": [len(w)]}) for b in it for t in b["text"] if len(w := word_hashes(t))), "n long").agg(F.count("*").alias("n"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
+    by_term = written(rows.select("text").mapInPandas(count, "term long, items long").groupBy("term").agg(F.sum("items").alias("df")), "terms")
+    total = rows.select("text").mapInPandas(lambda it: (pd.DataFrame({"n": [len(w) for w, *_ in p], "item": [1] + [0] * (len(p) - 1)}) for b in it for t in b["text"] if (p := entries(t))), "n long, item long")
+    total = total.agg(F.count("*").alias("n"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
     if not total["n"]:
         return
-    shards = -(-rows.count() // shard_items)
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    shards = max(-(-size["n"] // shard_items), -(-size["chars"] // SHARD_CHARS))
     stride = max(LEAST_STRIDE, total["longest"])
     for k in range(shards):
         own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k) if shards > 1 else rows
-        got = sorted((r["id"] if r["id"] is not None else -1, r["text"]) for r in own.collect())
+        got = sorted(((r["id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         known = by_term
         if shards > 1:
-            terms = own.mapInPandas(lambda it: (pd.DataFrame({"term": np.unique(word_hashes(t)).view(np.int64)}) for b in it for t in b["text"]), "term long").distinct()
+            terms = own.select("text").mapInPandas(lambda it: (pd.DataFrame({"term": np.unique(word_hashes(t)).view(np.int64)}) for b in it for t in b["text"]), "term long").distinct()
             known = by_term.join(terms, "term", "left_semi")
         yield Index(got, {r["term"]: r["df"] for r in known.collect()}, total["n"], total["words"] / total["n"], stride)
 
 
+FOUND = (("item_id", "long"), ("score", "double"), ("overlap", "double"), ("question_overlap", "double"), ("answer_overlap", "double"))
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(id, item_id, score, overlap, question_overlap, answer_overlap) for each row and item that match."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    out = f"id {kind}, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = spark.createDataFrame([], out)
+    found = rows.limit(0).select("id", *(F.lit(None).cast(kind).alias(c) for c, kind in FOUND))
     for index in indexes(items, shard_items=shard_items):
         held = spark.sparkContext.broadcast(index)
 
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for b in slices(batches):
-                hits = [(i, *m) for i, ms in zip(b["id"], held.value.matches(list(b["text"]))) for m in ms]
-                if hits:
-                    yield pd.DataFrame(hits, columns=["id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
+        def search(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series([[dict(zip((c for c, _ in FOUND), m)) for m in ms] for part in slices([texts.to_frame("text")]) for ms in held.value.matches(list(part["text"]))])
 
-        found = found.unionByName(rows.mapInPandas(search, out))
+        udf = F.pandas_udf(search, "array<struct<" + ",".join(f"{c}:{kind}" for c, kind in FOUND) + ">>")
+        found = found.unionByName(rows.select("id", F.explode(udf("text")).alias("m")).select("id", "m.*"))
     return found.withColumnRenamed("id", id_col)
 
 
@@ -250,6 +277,7 @@ def free_of(held: Broadcast):
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no benchmark item was found."""
+    small_batches(spark)
     kept = docs
     for index in indexes(table(spark, sf_dir, "benchmark")):
         kept = kept.where(free_of(spark.sparkContext.broadcast(index))("text"))
