@@ -21,11 +21,11 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, slices, table
+from .common import parts, small_batches, table, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPECIAL = {"<|endoftext|>": 50256}
-LEAF_CHARS = 1 << 16
+LEAF_CHARS = 1 << 13
 #: Tokens that a window must share with each side, and tokens that the first window takes from each side.
 AGREE, WINDOW = 4, 16
 
@@ -79,44 +79,37 @@ def codec(ranks_path: str) -> Codec:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """One row for each row of ``docs``: the id, ``ids`` array<int> and ``decoded`` string."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = f"id {kind}, ids array<int>, decoded string"
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("ids array<int>, decoded string")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(ranks_path)
-        for b in slices(batches):
-            ids = [c.encode(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "ids": ids, "decoded": [c.decode(x) for x in ids]})
+        for texts in batches:
+            ids = [c.encode(t) for t in texts]
+            yield pd.DataFrame({"ids": ids, "decoded": [c.decode(x) for x in ids]})
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row, i, text in zip(b["row"], b["id"], b["text"]):
-                for leaf, start in enumerate(range(0, len(text), leaf_chars)):
-                    yield pd.DataFrame({"row": [row], "id": pd.Series([i], dtype=b["id"].dtype), "leaf": [leaf], "text": [text[start : start + leaf_chars]]})
-
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def leaf_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(ranks_path)
-        for b in slices(batches):
-            yield pd.DataFrame({"row": b["row"], "id": b["id"], "leaf": b["leaf"], "ids": [c.encode(t) for t in b["text"]]})
+        for texts in batches:
+            yield pd.Series([c.encode(t) for t in texts])
 
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
+    @F.pandas_udf("ids array<int>, decoded string")
+    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(ranks_path)
-        group = group.sort_values("leaf")
-        ids = c.tree([list(map(int, x)) for x in group["ids"]])
-        return pd.DataFrame({"id": group["id"].iloc[:1].values, "ids": [ids], "decoded": [c.decode(ids)]})
-
-    short = rows.where(F.length("text") <= leaf_chars).mapInPandas(whole, out)
-    long = (
-        rows.where(F.length("text") > leaf_chars)
-        .withColumn("row", F.monotonically_increasing_id())
-        .mapInPandas(cut, f"row long, id {kind}, leaf int, text string")
-        .repartition(parts(docs), "row", "leaf")
-        .mapInPandas(leaves, f"row long, id {kind}, leaf int, ids array<int>")
-        .groupBy("row")
-        .applyInPandas(joined, out)
-    )
-    return short.unionByName(long).withColumnRenamed("id", id_col)
+        for leaves in batches:
+            ids = [c.tree([list(map(int, leaf["ids"])) for leaf in x]) for x in leaves]
+            yield pd.DataFrame({"ids": ids, "decoded": [c.decode(x) for x in ids]})
+
+    short = rows.where(F.length("text") <= leaf_chars).select("id", whole("text").alias("s"))
+    long = written(rows.where(F.length("text") > leaf_chars).select(F.monotonically_increasing_id().alias("row"), "id", "text"), "long")
+    cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf_chars).cast("int"))
+    leaves = long.select("row", F.explode(F.transform(cuts, lambda k: F.struct(k.alias("leaf"), F.substring(F.col("text"), k * leaf_chars + 1, F.lit(leaf_chars)).alias("text")))).alias("cut"))
+    leaves = leaves.select("row", "cut.leaf", "cut.text").repartition(parts(docs), "row", "leaf").select("row", "leaf", leaf_ids("text").alias("ids"))
+    trees = leaves.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("leaf", "ids"))).alias("leaves"))  # the tokens of one text
+    long = long.select("row", "id").join(trees, "row").select("id", joined("leaves").alias("s"))
+    return short.unionByName(long).select(F.col("id").alias(id_col), "s.ids", "s.decoded")
 
 
 def ids_sha256(ids: Column) -> Column:
