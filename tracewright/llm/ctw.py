@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, table, written
+from .common import remainder, slices, small_batches, table, written
 from .minhash import mixed
 
 DEPTH, END = 5, 255
@@ -211,13 +211,14 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
     ``train`` names a boolean column: the rows to learn from. ``chunk`` names a column of whole numbers that says which
     rows are counted together, best rows that are read together; without it rows are dealt out by a hash.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()  # ids travel as strings: a null beside them would make numbers inexact
     if chunk is None:
         size = docs.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
         of_chunk = F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(size // CHUNK_CHARS + 1))
     else:
         of_chunk = F.col(chunk)
-    rows = docs.select(of_chunk.cast("long").alias("chunk"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    rows = docs.select(of_chunk.cast("long").alias("chunk"), F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
 
     def emit(chunk: int, found: dict[int, tuple[list, list]]) -> Iterator[pd.DataFrame]:
         for what, (keys, counts) in found.items():
@@ -312,10 +313,10 @@ def score(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "
             )
         return pd.concat(out)
 
-    out = f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    packed = rows.select("chunk", "id", "text").mapInPandas(pack, f"chunk long, ids array<{kind}>, texts binary")
+    out = "id string, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    packed = rows.select("chunk", "id", "text").mapInPandas(pack, "chunk long, ids array<string>, texts binary")
     found = packed.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInPandas(scored, out)
-    return found.withColumnRenamed("id", id_col)
+    return found.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
