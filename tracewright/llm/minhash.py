@@ -2,8 +2,9 @@
 
 A text is its sequence of words (runs of letters, digits and ``_``, small-cased); its k-mers are the runs of
 ``SHINGLE`` words, each labelled with how often it has occurred before in the text. Each of ``SKETCHES`` hash functions
-picks the ``PICK`` least labelled k-mers and keeps them in text order; texts that agree in one such tuple are
-candidates. Candidates are aligned word by word: their similarity is m / (n1 + n2 - m), with m the longest common
+picks the three least labelled k-mers and keeps them in text order; texts that agree in one such tuple are candidates.
+Where more than ``CROWD`` texts agree, as a passage that many share makes them, they must agree in a tuple of twice the
+size, which those that have the passage and are near still do (the passage is part of what they share). Candidates are aligned word by word: their similarity is m / (n1 + n2 - m), with m the longest common
 subsequence of their n1 and n2 words. It is 0.8 where one word in nine is another, or one in five is left out; moved text
 lowers it. One minus it is a metric, which is used below. Pairs of ``SIMILARITY`` or more are links; classes are the
 connected components of the links and of equal texts.
@@ -42,7 +43,9 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from .common import small_batches, table, written
 
-SHINGLE, SIMILARITY, SKETCHES, PICK = 5, 0.8, 40, 3
+SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 40
+#: K-mers of a tuple; the longer ones part the buckets of more than ``CROWD`` texts that agree in the shorter.
+PICK, CROWD = (3, 6, 12), 256
 #: Rows of a side that may be broadcast: some 30 MB of keys; above it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Words of what is left of a bucket, up to which one task settles it; beyond, of a block of a class of length.
@@ -141,37 +144,37 @@ def short_keys(words: np.ndarray) -> list[int]:
     return h.view(np.int64).tolist()
 
 
-def sketch(text: str) -> tuple[int, list[int]]:
-    """The number of words, and the hashes of ordered tuples and the keys of short texts; none for a text without words."""
+def sketch(text: str) -> tuple[int, list[int], list[list[int]]]:
+    """The number of words, the keys of a short text, and for each size of tuple the hashes of its tuples; none for a text without words."""
     words = word_hashes(text)
+    none: list[list[int]] = [[] for _ in PICK]
     if not len(words):
-        return 0, []
-    keys = short_keys(words)
-    if len(words) > least_common(SHORT):  # all that a shorter one can be linked to have such keys
-        keys = keys + tuples(labelled(kmers(words)))
-    return len(words), sorted(set(keys))
+        return 0, [], none
+    if len(words) <= least_common(SHORT):  # all that it can be linked to have such keys
+        return len(words), short_keys(words), none
+    return len(words), short_keys(words), tuples(labelled(kmers(words))).tolist()
 
 
-def tuples(x: np.ndarray) -> list[int]:
+def tuples(x: np.ndarray) -> np.ndarray:
+    """For each size of tuple a row of ``SKETCHES`` hashes; a longer tuple holds the shorter ones' k-mers."""
     a, b = seeds()
-    pick = min(PICK, len(x))
-    if pick < len(x):
-        # The place of a k-mer takes the low bits of its hash, so that the least hashes bring their places along.
-        low = U((1 << len(x).bit_length()) - 1)
-        place, at = np.arange(len(x), dtype=U), []
-        for i in range(0, SKETCHES, step := max(1, (1 << 20) // len(x))):
-            v = x[None] * a[i : i + step, None] + b[i : i + step, None]
-            v = v & ~low | place
-            v.partition(pick - 1, axis=1)
-            at.append((v[:, :pick] & low).astype(np.int64))
-        at = np.concatenate(at)
-    else:
-        at = np.tile(np.arange(pick), (SKETCHES, 1))
-    picked = x[np.sort(at, axis=1)]
-    h = np.arange(1, SKETCHES + 1, dtype=U) * U(0x2545F4914F6CDD1D)
-    for j in range(pick):
-        h = mixed(h * U(0x9E3779B97F4A7C15) + picked[:, j])
-    return h.view(np.int64).tolist()
+    most = min(PICK[-1], len(x))
+    # The place of a k-mer takes the low bits of its hash, so that the least hashes bring their places along.
+    low = U((1 << len(x).bit_length()) - 1)
+    place, at = np.arange(len(x), dtype=U), []
+    for i in range(0, SKETCHES, step := max(1, (1 << 20) // len(x))):
+        v = x[None] * a[i : i + step, None] + b[i : i + step, None]
+        v = v & ~low | place
+        v.partition(most - 1, axis=1)
+        at.append((np.sort(v[:, :most], axis=1) & low).astype(np.int64))
+    at, out = np.concatenate(at), []
+    for size in PICK:
+        picked = x[np.sort(at[:, :size], axis=1)]
+        h = np.arange(1, SKETCHES + 1, dtype=U) * U(0x2545F4914F6CDD1D)
+        for j in range(picked.shape[1]):
+            h = mixed(h * U(0x9E3779B97F4A7C15) + picked[:, j])
+        out.append(h)
+    return np.stack(out).view(np.int64)
 
 
 def in_common(a: np.ndarray, b: np.ndarray) -> int:
@@ -320,23 +323,39 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     near = 1 - SIMILARITY + 1e-9
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.md5(text_col)).alias("key"))
 
-    @F.pandas_udf("n int, bands array<bigint>")
+    levels = [f"level{k}" for k in range(len(PICK))]
+
+    @F.pandas_udf("n int, short array<bigint>," + ",".join(f"{c} array<bigint>" for c in levels))
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [sketch(t) for t in texts]
-            yield pd.DataFrame({"n": [n for n, _ in found], "bands": [b for _, b in found]})
+            yield pd.DataFrame({"n": [n for n, _, _ in found], "short": [s for _, s, _ in found]} | {c: [x[k] for *_, x in found] for k, c in enumerate(levels)})
 
     # One item for each text: the row with the least id that has it.
     copies = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     copies = written(copies.where("copies > 1"), "copies")
     few = copies.count() <= BROADCAST_ROWS
     first = rows.where("text is not null").join(F.broadcast(copies) if few else copies, "key", "left").where(F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("least")))
-    items = first.select("id", "key", "text", sketched("text").alias("s")).select(F.monotonically_increasing_id().alias("item"), "id", "key", "text", "s.n", "s.bands")
+    items = first.select("id", "key", "text", sketched("text").alias("s")).select(F.monotonically_increasing_id().alias("item"), "id", "key", "text", "s.*")
     items = written(items, "items")
 
-    members = items.select(F.explode("bands").alias("band"), "item")
-    pivots = members.groupBy("band").agg(F.min("item").alias("b"), F.count("*").alias("members")).where("members > 1").select("band", "b")
-    star = written(members.join(pivots, "band").select("band", F.col("item").alias("a"), "b"), "star")
+    def met(members: DataFrame) -> DataFrame:
+        return members.groupBy("band").agg(F.min("item").alias("b"), F.count("*").alias("members")).where("members > 1")
+
+    rest = items.select(F.explode("short").alias("band"), "item")
+    star = rest.join(met(rest).select("band", "b"), "band").select("band", F.col("item").alias("a"), "b")
+    crowded = None
+    for k, level in enumerate(levels):
+        each = items.select("item", F.explode(level).alias("band")) if crowded is None else items.select("item", F.explode(F.arrays_zip(levels[k - 1], level)).alias("z")).select("item", F.col(f"z.{levels[k - 1]}").alias("crowd"), F.col(f"z.{level}").alias("band")).join(crowded, "crowd").select("item", "band")
+        size = written(met(each), "buckets")
+        fit = size if k + 1 == len(levels) else size.where(F.col("members") <= CROWD)
+        star = star.unionByName(each.join(fit.select("band", "b"), "band").select("band", F.col("item").alias("a"), "b"))
+        crowded = size.where(F.col("members") > CROWD).select(F.col("band").alias("crowd"))
+        n = crowded.count()
+        if k + 1 == len(levels) or not n:
+            break
+        crowded = F.broadcast(crowded) if n <= BROADCAST_ROWS else crowded
+    star = written(star, "star")
     pairs = written(star.where("a <> b").select("a", "b").distinct(), "pairs")
     needed = written(pairs.select(F.col("a").alias("item")).unionByName(pairs.select(F.col("b").alias("item"))).distinct(), "needed")
     few = needed.count() <= BROADCAST_ROWS
@@ -360,7 +379,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of_key = ids.join(least, "root").groupBy("key").agg(F.min("first").alias("first"))
     return rows.select("id", "key").join(of_key, "key", "left").select(
         F.col("id").alias(id_col), "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
-        F.col("key").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))).alias("first"),
+        (F.col("key").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")))).alias("first"),
     )
 
 
