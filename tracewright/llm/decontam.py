@@ -250,13 +250,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = rows.limit(0).select("id", *(F.lit(None).cast(kind).alias(c) for c, kind in FOUND))
     for index in indexes(items, shard_items=shard_items):
-        held = spark.sparkContext.broadcast(index)
-
-        def search(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series([[dict(zip((c for c, _ in FOUND), m)) for m in ms] for part in slices([texts.to_frame("text")]) for ms in held.value.matches(list(part["text"]))])
-
-        udf = F.pandas_udf(search, "array<struct<" + ",".join(f"{c}:{kind}" for c, kind in FOUND) + ">>")
+        udf = found_by(spark.sparkContext.broadcast(index))
         found = found.unionByName(rows.select("id", F.explode(udf("text")).alias("m")).select("id", "m.*"))
     return found.withColumnRenamed("id", id_col)
 
@@ -265,6 +259,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def found_by(held: Broadcast):
+    """A column function: the items that a text holds."""
+
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[dict(zip((c for c, _ in FOUND), m)) for m in ms] for part in slices([texts.to_frame("text")]) for ms in held.value.matches(list(part["text"]))])
+
+    return F.pandas_udf(search, "array<struct<" + ",".join(f"{c}:{kind}" for c, kind in FOUND) + ">>")
+
+
 def free_of(held: Broadcast):
     """A column function: whether a text holds none of the index's items."""
 
