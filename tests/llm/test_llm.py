@@ -529,12 +529,12 @@ def test_classes_equal_brute_force(spark):
     got = {x["doc_id"]: x["class_id"] for x in minhash.classes(df).collect()}
     want = brute_classes(texts)
     assert [got[i] for i in range(len(texts))] == want
-    old = minhash.CELL_WORDS
-    minhash.CELL_WORDS = 500  # the way for large buckets
+    old = minhash.CELL_WORDS, minhash.CROWD
+    minhash.CELL_WORDS, minhash.CROWD = 500, 8  # the ways for large buckets
     try:
         assert {x["doc_id"]: x["class_id"] for x in minhash.classes(df).collect()} == got
     finally:
-        minhash.CELL_WORDS = old
+        minhash.CELL_WORDS, minhash.CROWD = old
     kept = sorted(x["doc_id"] for x in minhash.stage(spark, df, "").collect())
     assert kept == sorted(set(want))
 
@@ -569,6 +569,9 @@ def test_short_texts_that_are_linked_share_a_key():
     for n in (4, 8, 9, 10, 40):  # one word added at an end
         a, b = (minhash.sketch(" ".join(f"w{i}" for i in range(k))) for k in (n, n + 1))
         assert set(a[1]) & set(b[1])
+    a, b = (minhash.sketch(" ".join([f"w{i}" for i in range(200)] + [f"x{k}"])) for k in (1, 2))
+    common = [np.array(x) == np.array(y) for x, y in zip(a[2], b[2])]
+    assert common[0].mean() > 0.6 and (common[0] >= common[1]).all() and (common[1] >= common[2]).all()
 
 
 def test_classes_of_short_texts_equal_brute_force(spark):
