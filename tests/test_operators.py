@@ -212,7 +212,7 @@ def test_flatten_array_and_cap(spark):
 
 def test_rotation_by_quarters(spark):
     ddl = "parent string, child string, ord int, x double, y double, rotation double, mirror boolean, cols int, rows int, dx double, dy double, origin_x double, origin_y double"
-    for rotation, mirror, want, turn in [(90.0, False, (-2, 1), 120.0), (180.0, False, (-1, -2), 210.0), (270.0, False, (2, -1), 300.0), (0.0, True, (-1, 2), 330.0)]:
+    for rotation, mirror, want, turn in [(90.0, True, (-2, -1), 60.0), (90.0, False, (-2, 1), 120.0), (180.0, False, (-1, -2), 210.0), (270.0, False, (2, -1), 300.0), (0.0, True, (-1, 2), 330.0)]:
         df = spark.createDataFrame([("p", "c", 0, 0.0, 0.0, rotation, mirror, 1, 1, 0.0, 0.0, 0.0, 0.0)], ddl)
         found, _ = flatten.instances(df, spark.createDataFrame([("p",)], "doc string"))
         x, y = flatten.applied(F.lit(1.0), F.lit(2.0))
@@ -248,6 +248,28 @@ def test_rules_report(spark):
     assert got == [(1, True), (2, True), (0, False)]
 
 
+def test_rule_texts(spark):
+    ddl = "doc_id string, ord int, kind string, priority int, name string, enabled boolean, scope1 string, scope2 string, comment string, params array<struct<name:string,value:string>>"
+    rows = [("d", 0, "Width", 1, "W", False, "All", "InNet('A')", "note", [("Name", "W"), ("MAXLIMIT", "10mil"), ("EMPTY", "")]), ("d", 1, "Clearance", 1, "C", True, "", "", "", [])]
+    lines = [r["line"] for r in reports.rule_texts(spark.createDataFrame(rows, ddl), metric=True).orderBy("ord", "part").collect()]
+    assert lines == ["[Clearance]", "  C (priority 1)", "[Width]", "  W (priority 1) [disabled]", "    scope: All  vs  InNet('A')", "    comment: note", "    MAXLIMIT=0.254mm", "2 rule(s)"]
+
+
+def test_moved_polygons_and_kept_boards(spark):
+    ddl = "parent string, child string, ord int, x double, y double, rotation double, mirror boolean, cols int, rows int, dx double, dy double, origin_x double, origin_y double"
+    found, _ = flatten.instances(spark.createDataFrame([("p", "c", 0, 100.0, 0.0, 90.0, True, 1, 1, 0.0, 0.0, 0.0, 0.0)], ddl), spark.createDataFrame([("p",)], "doc string"))
+    vertex = [{"x": 10, "y": 1, "is_arc": True, "cx": 0, "cy": 0, "start_angle": 0.0, "end_angle": 90.0}, {"x": 5, "y": 5, "is_arc": False, "cx": 7, "cy": 7, "start_angle": 1.0, "end_angle": 2.0}]
+    polygon = spark.createDataFrame([("c", 1.0, 2.0, vertex)], "doc string, x double, y double, vertices array<struct<x:int,y:int,is_arc:boolean,cx:int,cy:int,start_angle:double,end_angle:double>>")
+    r = flatten.moved(polygon, "polygon", found).first()
+    assert (r["x"], r["y"]) == (98, -1)
+    a, b = r["vertices"]
+    assert (a["x"], a["y"], a["cx"], a["cy"]) == (99, -10, 100, 0) and (a["start_angle"], a["end_angle"]) == pytest.approx((180.0, 270.0))
+    assert (b["x"], b["y"], b["cx"], b["start_angle"]) == (95, -5, 7, 1.0)
+    kept = spark.createDataFrame([("c", 1.0, 2.0, 0.0, 0, 0, 10, 20, False)], "doc string, x double, y double, rotation double, box_x0 int, box_y0 int, box_x1 int, box_y1 int, mirror boolean")
+    r = flatten.moved(kept, "embedded", found).first()
+    assert (r["box_x0"], r["box_y0"], r["box_x1"], r["box_y1"], r["mirror"]) == (80, -10, 100, 0, True) and r["rotation"] == pytest.approx(90.0)
+
+
 def test_differences(spark):
     a = spark.createDataFrame([(1, "x", "p"), (2, "x", "q"), (3, "y", "r")], "id int, kind string, v string")
     b = spark.createDataFrame([(1, "x", "p"), (2, "x", "Q"), (4, "y", "s"), (5, "y", "s")], "id int, kind string, v string")
@@ -258,6 +280,9 @@ def test_differences(spark):
 def test_suffixed_files(spark):
     rows = spark.createDataFrame([(0, "m.step", "A"), (1, "m.step", "B"), (2, "m.step", "A"), (3, "m.step", ""), (4, "n", "A"), (5, "n", "C")], "ord int, name string, data string")
     assert sorted((r["file"], r["copies"]) for r in dedup.suffixed(rows, "name", "data", "ord").collect()) == [("m-2.step", 1), ("m.step", 2), ("n", 1), ("n-2", 1)]
+    rows = spark.createDataFrame([(0, "x-2.s", "A"), (1, "x.s", "B"), (2, "x.s", "C"), (3, "x.s", "D"), (4, "x-3.s", "E"), (5, "a/b:c", "F")], "ord int, name string, data string")
+    got = {r["first"]: r["file"] for r in dedup.suffixed(rows, "name", "data", "ord").collect()}
+    assert got == {0: "x-2.s", 1: "x.s", 2: "x-3.s", 3: "x-4.s", 4: "x-3-2.s", 5: "a_b_c"}
 
 
 def test_document_paths(spark):
@@ -435,9 +460,11 @@ def test_boxes(spark):
     assert got == {"track": (-1, -1, 11, 6), "arc": (-12, -12, 12, 12), "pad": (-3, -4, 3, 4), "via": (2**31 - 6, -5, 2**31 - 1, 5), "fill": (1, 1, 5, 5), "text": (0, 0, 18, 10), "outline": (-3, 2, 1, 9)}
     r = boxes.enclosing({k: tables[k] for k in ("track", "arc")}, ["path"]).first()
     assert (r["x_min"], r["y_min"], r["x_max"], r["y_max"]) == (-12, -12, 12, 12)
-    regions = tables["outline"].withColumn("layer", F.lit(1)).unionByName(tables["outline"].withColumn("layer", F.lit(1)).withColumn("ord", F.lit(7)))
+    shape = tables["outline"].withColumn("layer", F.lit(1)).withColumn("is_shape_based", F.lit(True)).withColumn("sub_poly_index", F.lit(-1))
+    regions = shape.withColumn("ord", F.lit(5)).unionByName(shape.withColumn("ord", F.lit(7)))
+    regions = regions.unionByName(shape.withColumn("is_shape_based", F.lit(False))).unionByName(shape.withColumn("sub_poly_index", F.lit(3)).withColumn("ord", F.lit(1)))
     pads = make("layer int, x int, y int", (1, 50, 50), (2, 0, 5), (1, 0, 5), (1, 1, 5))
-    assert [tuple(r) for r in boxes.pad_shapes(regions, pads).collect()] == [("p", 0, 2)]
+    assert [tuple(r) for r in boxes.pad_shapes(regions, pads).collect()] == [("p", 5, 2)]
     owned, free = boxes.by_component(pads.withColumn("component_index", F.col("ord") - 1), spark.createDataFrame([("p", 0), ("p", 1)], "path string, ord int"))
     assert (owned.count(), free.count()) == (2, 2)
 

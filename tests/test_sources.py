@@ -96,10 +96,13 @@ def test_broken_containers_give_a_row(spark, cut):
 
 
 def test_ini_sections(spark, tmp_path):
-    (tmp_path / "x.LibPkg").write_bytes("﻿stray=1\r\n[Design]\r\nName = a=b\r\n[Document10]\r\nDocumentPath=z\r\n[Document2]\r\nDocumentPath=old\r\n[Document2]\r\nDocumentPath=new\r\n".encode())
+    (tmp_path / "x.LibPkg").write_bytes("﻿; note\r\n [Design] \r\nName = a=b\r\nName = z\r\nName = c=d\r\n[Document10]\r\nDocumentPath=z\r\n[Document2]\r\nDocumentPath=old\r\n[Document2]\r\nDocumentPath=new\r\n".encode())
     rows = sources.ini(sources.documents(spark, str(tmp_path)))
-    assert sorted((r["section"], r["key"], r["value"]) for r in rows.collect()) == [("Design", "Name", "a=b"), ("Document10", "DocumentPath", "z"), ("Document2", "DocumentPath", "new")]
+    assert sorted((r["section"], r["key"], r["value"]) for r in rows.collect()) == [("Design", "Name ", " c=d"), ("Document10", "DocumentPath", "z"), ("Document2", "DocumentPath", "new")]
     assert [r["n"] for r in sources.numbered(rows).orderBy("n").collect()] == [2, 10]
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y" / "y.LibPkg").write_bytes(b"stray=1\n[Design]\nName=a\n")
+    assert [(r["section"], r["error"]) for r in sources.ini(sources.documents(spark, str(tmp_path / "y"))).collect()] == [(None, "key stray before any section")]
 
 
 def test_bom_records_and_encodings(spark, tmp_path):
@@ -186,3 +189,28 @@ def test_texts_go_round(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in texts.collect()} == {"d": "a\nb\n", "../e": "c\n"}
     sinks.write_texts(texts, str(tmp_path / "out"), "doc")
     assert {r["doc"]: r["value"] for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()} == {"d": "a\nb\n\n", "UNSAFE_e": "c\n\n"}
+
+
+def test_wide_strings_and_view_config(spark):
+    from tracewright.functions import text as texts
+    from tracewright.sources import board
+
+    entry = lambda i, t: struct.pack("<II", i, 2 * len(t) + 2) + t.encode("utf-16-le") + b"\0\0"
+    older = b"|ENCODEDTEXT0=72,105,x,1114112|ENCODEDTEXT1=|ENCODEDTEXT3=65\0"
+    rows = [("new", entry(1, "b\u00e9") + struct.pack("<II", 0, 0) + entry(1, "c") + b"\1"), ("old", struct.pack("<I", len(older)) + older), ("none", b"")]
+    got = sorted((r["path"], r["index"], r["text"]) for r in board.wide_strings(spark.createDataFrame(rows, "path string, data binary")).collect())
+    assert got == [("new", 0, ""), ("new", 1, "c"), ("old", 0, "Hi"), ("old", 1, "")]
+    value = "CFG3D.A=1`x`CFG2D.B=2=3`CFG2D.A=1`CFG2D.A=4"
+    r = spark.range(1).select(texts.config_entries(F.lit(value), "CFG2D.").alias("e"), texts.layers_shown(F.lit("g~0_g.I~V.Version=2,Class=T,16777217=1,5=0,7=2,5=1")).alias("s")).first()
+    assert [tuple(e) for e in r["e"]] == [("CFG2D.A", "4"), ("CFG2D.B", "2=3")] and [tuple(e) for e in r["s"]] == [(5, True), (16777217, True)]
+
+
+def test_binary_pins(spark):
+    from tracewright.sources import sheet
+
+    word = lambda t: bytes([len(t)]) + t.encode("latin-1")
+    body = struct.pack("<iBhBBBBB", 2, 0, -1, 1, 2, 3, 4, 5) + word("\xb5") + struct.pack("<BBBhhhi", 1, 4, 58, 30, -10, 20, 255) + word("VCC") + word("A1") + word("") + word("1|&|0") + word("dv")
+    rows = spark.createDataFrame([(0, body), (1, body[:-2]), (2, b"\x01" + body[1:]), (3, b"")], "k int, body binary")
+    got = {r["k"]: r["params"] and {p["name"]: p["value"] for p in r["params"]} for r in sheet.binary_pins(rows).collect()}
+    assert got[1] is None and got[2] is None and got[3] is None
+    assert {k: got[0][k] for k in ("RECORD", "OWNERPARTID", "DESCRIPTION", "PINLENGTH", "LOCATION.X", "COLOR", "NAME", "DESIGNATOR", "DEFAULTVALUE")} == {"RECORD": "2", "OWNERPARTID": "-1", "DESCRIPTION": "µ", "PINLENGTH": "30", "LOCATION.X": "-10", "COLOR": "255", "NAME": "VCC", "DESIGNATOR": "A1", "DEFAULTVALUE": "dv"}

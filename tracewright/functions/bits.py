@@ -29,3 +29,15 @@ def weighted_checksum(data: Column) -> Column:
     total = F.aggregate(places, F.lit(0).cast("bigint"), lambda acc, i: (acc + byte(i) * F.greatest(i, F.lit(1))).bitwiseAND(F.lit(0xFFFFFFFF)))
     unsigned = F.when(F.octet_length(data) > 0, total).otherwise(F.lit(0).cast("bigint"))
     return F.when(unsigned >= 2**31, unsigned - 2**32).otherwise(unsigned).cast("int")
+
+
+def differing(a: Column, b: Column) -> Column:
+    """The offsets at which two byte strings differ, as far as both go."""
+    byte = lambda c, i: F.substring(c, i + 1, F.lit(1))
+    n = F.least(F.octet_length(a), F.octet_length(b))
+    return F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: byte(a, i) != byte(b, i))
+
+
+def first_difference(a: Column, b: Column) -> Column:
+    """The first such offset, or the length of the shorter."""
+    return F.coalesce(F.get(differing(a, b), F.lit(0)), F.least(F.octet_length(a), F.octet_length(b)))

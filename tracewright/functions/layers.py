@@ -5,15 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Ranges of layer numbers by kind.
-KINDS = ((1, 32, "signal"), (39, 54, "plane"))
+#: Kinds of a stack's layers by ranges of their ids in the newer form.
+KINDS = (
+    (0x01000000, 0x0101FFFF, "copper"), (0x01040000, 0x0104FFFF, "dielectric"), (0x0103000A, 0x0103000B, "solder mask"),
+    (0x01030008, 0x01030009, "paste"), (0x01030006, 0x01030007, "overlay"),
+)
+#: Drawing priorities by ranges of layer numbers, the least drawn first; other layers have 50.
+PRIORITIES = (
+    (1, 1, 6), (2, 31, 6), (32, 32, 0), (33, 33, 2), (34, 34, 3), (35, 35, 7), (36, 36, 2), (37, 37, 9), (38, 38, 1), (39, 54, 11),
+    (55, 55, 12), (56, 56, 13), (57, 72, 14), (73, 73, 15), (74, 74, 1), (81, 82, 1),
+)
+#: A text's place within its box by the byte that stores it, from 1; 0 is by hand.
+JUSTIFICATIONS = ("TopLeft", "MiddleLeft", "BottomLeft", "TopCenter", "MiddleCenter", "BottomCenter", "TopRight", "MiddleRight", "BottomRight")
+
+
+def _ranged(value: Column, ranges: tuple, other) -> Column:
+    out = F.lit(other)
+    for low, high, found in ranges:
+        out = F.when(value.between(low, high), found).otherwise(out)
+    return out
 
 
-def kind_of(layer: Column) -> Column:
-    out = F.lit("other")
-    for low, high, kind in KINDS:
-        out = F.when(layer.between(low, high), kind).otherwise(out)
-    return out
+def kind_of(layer_id: Column) -> Column:
+    return _ranged(layer_id, KINDS, "other")
+
+
+def draw_priority(layer: Column) -> Column:
+    return _ranged(layer, PRIORITIES, 50)
+
+
+def justification(byte: Column) -> Column:
+    """The name of a text's place; null by hand and for bytes that are none."""
+    return F.when(byte >= 1, F.get(F.array(*map(F.lit, JUSTIFICATIONS)), byte.cast("int") - 1))
+
+
+def justification_byte(name: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, JUSTIFICATIONS)), name).cast("int")
 
 
 def normal_name(name: Column) -> Column:

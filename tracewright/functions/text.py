@@ -87,19 +87,23 @@ def footprint_key(name: Column) -> Column:
     return F.replace(F.substring(name, 1, 31), F.lit("/"), F.lit("_"))
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def guid_text(data: Column) -> Column:
     """``{8-4-4-4-12}`` from 16 bytes, of which the first three groups are little-endian."""
-    h = lambda *places: F.concat(*(F.hex(F.substring(data, F.lit(i + 1), F.lit(1))) for i in places))
-    groups = [h(3, 2, 1, 0), h(5, 4), h(7, 6), h(8, 9), h(10, 11, 12, 13, 14, 15)]
-    return F.when(F.octet_length(data) == 16, F.concat(F.lit("{"), F.concat_ws("-", *groups), F.lit("}")))
+    h = lambda d, *places: F.concat(*(F.substring(d, 2 * i + 1, 2) for i in places))
+    groups = lambda d: [h(d, 3, 2, 1, 0), h(d, 5, 4), h(d, 7, 6), h(d, 8, 9), h(d, 10, 11, 12, 13, 14, 15)]
+    return _let(F.hex(data), lambda d: F.when(F.length(d) == 32, F.concat(F.lit("{"), F.concat_ws("-", *groups(d)), F.lit("}"))))
 
 
 def guid_bytes(text: Column) -> Column:
     """The 16 bytes of a GUID's text, with or without braces; null if it is none."""
-    h = F.upper(F.regexp_replace(F.trim(text), r"[{}-]", ""))
-    pair = lambda i: F.substring(h, 2 * i + 1, 2)
     order = [3, 2, 1, 0, 5, 4, 7, 6, *range(8, 16)]
-    return F.when(h.rlike("^[0-9A-F]{32}$"), F.unhex(F.concat(*(pair(i) for i in order))))
+    joined = lambda h: F.unhex(F.concat(*(F.substring(h, 2 * i + 1, 2) for i in order)))
+    return _let(F.upper(F.regexp_replace(F.trim(text), r"[{}-]", "")), lambda h: F.when(h.rlike("^[0-9A-F]{32}$"), joined(h)))
 
 
 def exponent_text(value: Column) -> Column:
@@ -113,3 +117,46 @@ def indirect(text: Column, parameters: Column) -> Column:
     name = F.substring(text, F.lit(2), F.length(text))
     found = F.get(F.filter(parameters, lambda p: F.lower(p["name"]) == F.lower(name)), F.lit(0))["value"]
     return F.when(text.startswith("="), F.coalesce(found, name)).otherwise(text)
+
+
+def quote_xml(text: Column) -> Column:
+    """With the five characters that markup reserves written as entities."""
+    for char, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "apos")):
+        text = F.replace(text, F.lit(char), F.lit(f"&{name};"))
+    return text
+
+
+def code_points(encoded: Column) -> Column:
+    """``72,105`` as ``Hi``: decimal code points between commas; what is no number, or no character, is left out."""
+    number = lambda p: p.try_cast("int")
+    fine = F.filter(F.split(encoded, ","), lambda p: p.rlike("^[0-9]+$") & (number(p) < 0x110000) & ~number(p).between(0xD800, 0xDFFF))
+    char = lambda p: F.decode(F.unhex(F.lpad(F.hex(number(p)), 8, "0")), "UTF-32")
+    return F.array_join(F.transform(fine, char), "")
+
+
+def us_stamp(time: Column) -> tuple[Column, Column]:
+    """Date as ``3/9/2024`` and time as ``1:05:09 PM``."""
+    return F.date_format(time, "M/d/yyyy"), F.date_format(time, "h:mm:ss a")
+
+
+def day_first_stamp(time: Column) -> tuple[Column, Column]:
+    """Date as ``09/03/2024`` and time as ``13:05:09``."""
+    return F.date_format(time, "dd/MM/yyyy"), F.date_format(time, "HH:mm:ss")
+
+
+def config_entries(value: Column, prefix: str) -> Column:
+    """array<struct<key,value>> of the entries ``KEY=VALUE`` between backquotes whose key begins with ``prefix``; the last of a key counts, keys in order."""
+    parts = F.filter(F.split(value, "`"), lambda p: p.contains("=") & p.startswith(prefix))
+    entry = lambda p: F.struct(F.substring(p, F.lit(1), F.instr(p, "=") - 1).alias("key"), F.substring(p, F.instr(p, "=") + 1, F.length(p)).alias("value"))
+    entries = F.filter(F.transform(parts, entry), lambda e: e["key"].startswith(prefix))
+    later = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+    return F.array_sort(F.filter(entries, later))
+
+
+def layers_shown(toggles: Column) -> Column:
+    """array<struct<layer,shown>> of the pairs ``<id>=<0 or 1>`` between commas and underlines; the last of a layer counts."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), F.replace(toggles, F.lit("_"), F.lit(",,")), F.lit(",")), F.lit(r",\s*([+-]?[0-9]+\s*=[01])(?=,)"), F.lit(1))
+    pair = lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).try_cast("bigint").alias("layer"), p.endswith("=1").alias("shown"))
+    pairs = F.transform(found, pair)
+    later = lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["layer"] == e["layer"])
+    return F.array_sort(F.filter(pairs, later))

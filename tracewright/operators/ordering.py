@@ -28,10 +28,8 @@ def global_rank(rows: DataFrame, order: Sequence[str | Column], into: str = "ran
 
 
 def dense_rank_of(rows: DataFrame, keys: Sequence[str], into: str = "rank") -> DataFrame:
-    """Dense rank by keys that take few values: ranked among the distinct ones, then joined back."""
-    distinct = rows.select(*keys).distinct()
-    ranks = distinct.withColumn(into, F.row_number().over(W.orderBy(*keys)))
-    return rows.join(ranks, list(keys))
+    """Dense rank by ``keys``: the place among the distinct ones, joined back."""
+    return rows.join(global_rank(rows.select(*keys).distinct(), keys, into), list(keys))
 
 
 def chain_positions(links: DataFrame, node: str = "node", after: str = "after") -> DataFrame:

@@ -104,3 +104,21 @@ def by_slot(prims: DataFrame, side: DataFrame, value: str) -> DataFrame:
 def first_rows(rows: DataFrame, order: Sequence[str], n: int | None = 10) -> DataFrame:
     """The first ``n`` rows of a listing, or all."""
     return rows.orderBy(*order) if n is None else rows.orderBy(*order).limit(n)
+
+
+def named_or_first(rows: DataFrame, name: str, order: str, wanted: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Of each key, the first row of the wanted name in any case, or the first of all where none is wanted."""
+    some = rows if wanted is None else rows.where(F.lower(name) == wanted.lower())
+    return first_by(some, keys, [order]) if keys else some.orderBy(order).limit(1)
+
+
+def region_pads(regions: DataFrame, pads: DataFrame) -> DataFrame:
+    """``regions`` (path, ord, params) with ``pad``, the place of the pad that PADINDEX (from 1) names, taken out of ``params``.
+
+    An index that is no number or names no pad stays where it is. ``pads``: (path, ord), numbered from 0.
+    """
+    named = F.get(F.filter("params", lambda p: F.upper(p["name"]) == "PADINDEX"), F.lit(0))
+    found = regions.withColumn("__pad", F.trim(named["value"]).try_cast("int") - 1)
+    found = found.join(pads.select("path", F.col("ord").alias("__pad"), F.col("ord").alias("pad")), ["path", "__pad"], "left")
+    rest = F.filter("params", lambda p: p["name"] != named["name"])
+    return found.withColumn("params", F.when(F.col("pad").isNotNull(), rest).otherwise(F.col("params"))).drop("__pad")

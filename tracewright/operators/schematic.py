@@ -26,6 +26,12 @@ def visible(part: Column, current_part: Column, mode: Column, current_mode: Colu
     return ~F.coalesce(other_part, F.lit(False)) & ~F.coalesce(other_mode, F.lit(False))
 
 
+def drawn(part: Column, current_part: Column, mode: Column, current_mode: Column, modes: Column) -> Column:
+    """Whether a primitive is drawn: a part that is not set is the first, and without a choice of modes all are drawn."""
+    current = F.when(current_part > 0, current_part).otherwise(1)
+    return ((part <= 0) | (part == current)) & ((modes <= 1) | (mode == current_mode))
+
+
 def pin_end(pins: DataFrame) -> DataFrame:
     """``pins`` with x and y moved to the wire's end: orientation 0 right, 1 up, 2 left, 3 down."""
     o, n = F.col("orientation"), F.col("length")

@@ -60,10 +60,10 @@ def on_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: C
     return inside & ~at_end & ((x0 != x1) | (y0 != y1)) & (c <= limit)
 
 
-def pair_once(pairs: DataFrame, region: str, pad: str) -> DataFrame:
-    """Of candidate pairs, each region's first pad, and of regions that share it the first: one to one."""
-    first = pairs.groupBy(region).agg(F.min(pad).alias(pad))
-    return first.groupBy(pad).agg(F.min(region).alias(region)).select(region, pad)
+def pair_once(pairs: DataFrame, region: str, pad: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Of candidate pairs, each region's first pad, and of regions that share it the first: one to one within the keys."""
+    first = pairs.groupBy(*keys, region).agg(F.min(pad).alias(pad))
+    return first.groupBy(*keys, pad).agg(F.min(region).alias(region)).select(*keys, region, pad)
 
 
 def doubled_area(points: Column) -> Column:
@@ -74,9 +74,15 @@ def doubled_area(points: Column) -> Column:
     return F.aggregate(terms, F.lit(0).cast("bigint"), lambda a, t: a + t)
 
 
-def first_in_window(rows: DataFrame, partition: Sequence[str], order: Sequence[str], n: int = 1) -> DataFrame:
-    """The first ``n`` rows of each partition."""
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*partition).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
+def distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Between two points, in raw units."""
+    dx, dy = x1.cast("double") - x0.cast("double"), y1.cast("double") - y0.cast("double")
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def ccw_sweep(start: Column, end: Column) -> Column:
+    """Degrees from ``start`` to ``end`` against the clock, from 0 up to 360: an arc that ends where it starts has none."""
+    return F.pmod(end - start, F.lit(360.0))
 
 
 def offset_polygon(points: Column, offset: Column) -> Column:

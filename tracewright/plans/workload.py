@@ -78,15 +78,6 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.global_rank(rows, [*text.natural_key(F.col("designator")), "c_custkey"], "place").select("c_custkey", "designator", "place")
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dense_rank() OVER (ORDER BY priority, l_linestatus) AS draw FROM (
-  SELECT *, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS priority FROM lineitem)""")
-def draw_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    priority = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", priority.alias("priority"))
-    return ordering.dense_rank_of(rows, ["priority", "l_linestatus"], "draw").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("draw").cast("bigint").alias("draw"))
-
-
 @query("""
 SELECT n_nationkey, p_partkey, p_size FROM (
   SELECT n_nationkey, p_partkey, p_size, row_number() OVER (PARTITION BY n_nationkey ORDER BY abs(p_size - 2 * n_nationkey), p_partkey) AS n
@@ -257,15 +248,6 @@ def csv_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.md5(text.quote_placement(c)).alias("placement"), F.md5(text.quote_bom(c, ";")).alias("bom"), F.md5(text.plain_tsv(c)).alias("tsv"))
 
 
-@query("""
-SELECT p_partkey, CASE WHEN p_size = 1 THEN 'TopLayer' WHEN p_size = 32 THEN 'BottomLayer' ELSE '' END AS side,
-       CASE WHEN p_size BETWEEN 1 AND 32 THEN 'signal' WHEN p_size BETWEEN 39 AND 54 THEN 'plane' ELSE 'other' END AS kind FROM part""")
-def layer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.layers import kind_of
-
-    return t(spark, sf_dir, "part").select("p_partkey", reports.side(F.col("p_size"), 0).alias("side"), kind_of(F.col("p_size")).alias("kind"))
-
-
 @query("""
 SELECT c_custkey, (c_custkey & 4) = 0 AS unlocked, (c_custkey & 8) <> 0 AS shown, CAST(packed & 255 AS INTEGER) AS r, CAST((packed >> 8) & 255 AS INTEGER) AS g,
        CAST((packed >> 16) & 255 AS INTEGER) AS b, '#' || lower(lpad(to_hex(packed & 255), 2, '0') || lpad(to_hex((packed >> 8) & 255), 2, '0') || lpad(to_hex((packed >> 16) & 255), 2, '0')) AS colour
@@ -367,3 +349,6 @@ def shoelace(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = lambda i: F.round(F.get("embedding", i).cast("double") * 1000).cast("bigint")
     points = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1), lambda i: F.struct(raw(i * 2).alias("x"), raw(i * 2 + 1).alias("y")))
     return t(spark, sf_dir, "embeddings").select("vec_id", spatial.doubled_area(points).alias("area2"))
+
+
+from . import designs  # noqa: E402, F401  registers its queries

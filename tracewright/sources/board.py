@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binary, params
 from ..functions.bits import has_bit
+from ..functions.text import code_points
 
 #: Object kinds by their byte, and how many blocks follow it (others: one).
 KINDS = {1: "arc", 2: "pad", 3: "via", 4: "track", 5: "text", 6: "fill", 11: "region", 12: "body"}
@@ -125,3 +126,62 @@ def with_names(prims: DataFrame, nets: DataFrame) -> DataFrame:
     """Primitives with the name of their net, by its position (path, ord, name); null where there is none."""
     side = nets.select("path", (F.col("ord") + 1).alias("net_index"), F.col("name").alias("net"))
     return prims.join(side, ["path", "net_index"], "left")
+
+
+def utf16(data: Column) -> Column:
+    return F.decode(data, "UTF-16LE")
+
+
+def wide_strings(streams: DataFrame) -> DataFrame:
+    """(path, index, text) of side tables (path, data): parameters ENCODEDTEXT0, 1, ... of decimal code points up to the first that is missing, where the fifth byte is ``|``; else entries of index, size and UTF-16 with its end, the last of an index counting."""
+    tagged = F.substring(F.col("data"), F.lit(5), F.lit(1)) == F.lit(b"|")
+    listed = params.indexed(params.parse(F.regexp_replace(F.decode(F.substring(F.col("data"), F.lit(5), F.octet_length("data")), "ISO-8859-1"), "\x00.*$", "")), "ENCODEDTEXT")
+    older = streams.where(tagged).select("path", F.posexplode(listed).alias("index", "encoded")).select("path", "index", code_points(F.col("encoded")).alias("text"))
+
+    def entries(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([list(wide_entries(bytes(d))) for d in b])
+
+    udf = F.pandas_udf(entries, "array<struct<index:int,text:string>>")
+    newer = streams.where(~tagged).select("path", F.posexplode(udf("data")).alias("pos", "e")).groupBy("path", "e.index").agg(F.max_by("e.text", "pos").alias("text"))
+    return older.unionByName(newer)
+
+
+def wide_entries(data: bytes) -> Iterator[dict]:
+    at = 0
+    while at + 8 <= len(data):
+        index, size = struct.unpack_from("<II", data, at)
+        at += 8
+        text = ""
+        if size > 2:
+            if at + size > len(data):
+                return
+            text = data[at : at + size - 2].decode("utf-16-le", "replace")
+            at += size
+        yield {"index": index, "text": text}
+
+
+def parameter_blocks(data: bytes) -> list[bytes] | None:
+    """The blocks behind a first byte, each after its size, without a zero at its end; null if one overruns the data."""
+    at, out = 1, []
+    while at + 4 <= len(data):
+        size = struct.unpack_from("<I", data, at)[0]
+        at += 4
+        if at + size > len(data):
+            return None
+        out.append(data[at : at + size].removesuffix(b"\0"))
+        at += size
+    return out
+
+
+def component_parameters(streams: DataFrame) -> DataFrame:
+    """(path, ord, params) of the parameter blocks of an integrated library's component streams (path, data); a broken stream has one row, its params null."""
+    from .text import decoded
+
+    def blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([parameter_blocks(bytes(d)) for d in b], dtype=object)
+
+    udf = F.pandas_udf(blocks, "array<binary>")
+    rows = streams.where("data is not null").select("path", F.posexplode_outer(F.coalesce(udf("data"), F.array(F.lit(None).cast("binary")))).alias("ord", "block"))
+    return rows.where("ord is not null").select("path", "ord", F.when(F.col("block").isNotNull(), params.parse(decoded(F.col("block")))).alias("params"))

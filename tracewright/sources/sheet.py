@@ -140,3 +140,39 @@ def symbol_identity(rows: DataFrame) -> DataFrame:
         out = out.join(side, ["doc_id", "ord"], "left")
     name = F.coalesce("a", "b", filled("sheet_name"), filled("file_name"), F.concat(F.lit("SHEET"), F.col("n").cast("string")))
     return out.select("doc_id", "ord", name.alias("name"), F.coalesce("c", "e", filled("file_name")).alias("file_name"))
+
+
+#: Fields of a binary pin in their order, as (parameter, size in bytes; 0 for a string after its length; negative if signed).
+PIN_FIELDS = (
+    ("RECORD", -4), (None, 1), ("OWNERPARTID", -2), ("OWNERPARTDISPLAYMODE", 1), ("SYMBOL_INNEREDGE", 1), ("SYMBOL_OUTEREDGE", 1), ("SYMBOL_INSIDE", 1), ("SYMBOL_OUTSIDE", 1),
+    ("DESCRIPTION", 0), ("FORMALTYPE", 1), ("ELECTRICAL", 1), ("PINCONGLOMERATE", 1), ("PINLENGTH", -2), ("LOCATION.X", -2), ("LOCATION.Y", -2), ("COLOR", -4),
+    ("NAME", 0), ("DESIGNATOR", 0), ("SWAPIDGROUP", 0), (None, 0), ("DEFAULTVALUE", 0),
+)
+
+
+def binary_pins(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``rows`` with ``params``, a binary pin's fields as parameters like those of a text record; null where it is no pin or too short.
+
+    The places of the fields follow from the lengths of the strings before them: a struct that walks over the body.
+    """
+    from ..functions import binary
+    from .text import decoded
+
+    data, at = F.col(body), F.lit(0)
+    out = rows
+    pairs = []
+    for k, (name, size) in enumerate(PIN_FIELDS):
+        start = f"__at{k}"
+        out = out.withColumn(start, at)
+        here = F.col(start)
+        if size:
+            value = (binary.signed if size < 0 else binary.unsigned)(data, here, abs(size)).cast("string")
+            at = here + abs(size)
+        else:
+            n = binary.unsigned(data, here, 1).cast("int")
+            value = F.when(F.octet_length(data) >= here + 1 + n, decoded(F.substring(data, here + 2, n)))
+            at = here + 1 + n
+        if name:
+            pairs.append(F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(False).alias("is_utf8")))
+    whole = F.forall(F.array(*pairs), lambda p: p["value"].isNotNull()) & (binary.signed(data, 0, 4) == PIN)
+    return out.withColumn("params", F.when(whole, F.array(*pairs))).drop(*(f"__at{k}" for k in range(len(PIN_FIELDS))))

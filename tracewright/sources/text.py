@@ -32,19 +32,25 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def ini(docs: DataFrame) -> DataFrame:
-    """(path, section, section_ord, key, key_ord, value): of sections of one name, the last counts; keys before any section are left out.
+    """(path, section, section_ord, key, key_ord, value, error): of sections of one name the last counts, in the place of the first; so with keys.
 
-    The lines of one document are ordered together.
+    Lines are trimmed, keys and values are not. A document with a key before any section has one row, its ``error``, and
+    no entries. The lines of one document are ordered together.
     """
     w = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    head = F.regexp_extract("text", r"^\s*\[(.*)\]\s*$", 1)
-    is_head = F.col("text").rlike(r"^\s*\[.*\]\s*$")
-    rows = lines(docs).withColumn("section_line", F.last(F.when(is_head, F.col("line")), ignorenulls=True).over(w)).withColumn("section", F.last(F.when(is_head, head), ignorenulls=True).over(w))
+    rows = lines(docs).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    is_head = F.col("text").rlike(r"(?s)^\[.*\]$")
+    head = F.substring("text", F.lit(2), F.length("text") - 2)
+    rows = rows.withColumn("section_line", F.last(F.when(is_head, F.col("line")), ignorenulls=True).over(w)).withColumn("section", F.last(F.when(is_head, head), ignorenulls=True).over(w))
     last = rows.where(is_head).groupBy("path", "section").agg(F.max("section_line").alias("section_line"), F.min("section_line").alias("section_ord"))
-    keys = rows.where(~is_head & F.col("text").contains("="))
     at = F.instr("text", "=")
-    found = keys.join(last, ["path", "section", "section_line"])
-    return found.select("path", "section", "section_ord", F.trim(F.substring("text", F.lit(1), at - 1)).alias("key"), F.col("line").alias("key_ord"), F.trim(F.substring("text", at + 1, F.length("text"))).alias("value"))
+    keys = rows.where(~is_head & (at > 0)).select("path", "line", "section", "section_line", F.substring("text", F.lit(1), at - 1).alias("key"), F.substring("text", at + 1, F.length("text")).alias("value"))
+    bad = keys.where("section is null").groupBy("path").agg(F.min_by("key", "line").alias("key"))
+    found = keys.join(last, ["path", "section", "section_line"]).join(bad.select("path"), "path", "left_anti")
+    found = found.groupBy("path", "section", "section_ord", "key").agg(F.min("line").alias("key_ord"), F.max_by("value", "line").alias("value"))
+    none = lambda kind: F.lit(None).cast(kind)
+    errors = bad.select("path", none("string").alias("section"), none("int").alias("section_ord"), none("string").alias("key"), none("int").alias("key_ord"), none("string").alias("value"), F.concat(F.lit("key "), "key", F.lit(" before any section")).alias("error"))
+    return found.select("path", "section", "section_ord", "key", "key_ord", "value", none("string").alias("error")).unionByName(errors)
 
 
 def numbered(entries: DataFrame, prefix: str = "document") -> DataFrame:
