@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches, table, written
+from .common import parts, small_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPECIAL = {"<|endoftext|>": 50256}
@@ -103,12 +103,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
             yield pd.DataFrame({"ids": ids, "decoded": [c.decode(x) for x in ids]})
 
     short = rows.where(F.length("text") <= leaf_chars).select("id", whole("text").alias("s"))
-    long = written(rows.where(F.length("text") > leaf_chars).select(F.monotonically_increasing_id().alias("row"), "id", "text"), "long")
+    long = rows.where(F.length("text") > leaf_chars).select(F.monotonically_increasing_id().alias("row"), "id", "text")
     cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf_chars).cast("int"))
-    leaves = long.select("row", F.explode(F.transform(cuts, lambda k: F.struct(k.alias("leaf"), F.substring(F.col("text"), k * leaf_chars + 1, F.lit(leaf_chars)).alias("text")))).alias("cut"))
-    leaves = leaves.select("row", "cut.leaf", "cut.text").repartition(parts(docs), "row", "leaf").select("row", "leaf", leaf_ids("text").alias("ids"))
-    trees = leaves.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("leaf", "ids"))).alias("leaves"))  # the tokens of one text
-    long = long.select("row", "id").join(trees, "row").select("id", joined("leaves").alias("s"))
+    leaves = long.select("row", "id", F.explode(F.transform(cuts, lambda k: F.struct(k.alias("leaf"), F.substring(F.col("text"), k * leaf_chars + 1, F.lit(leaf_chars)).alias("text")))).alias("cut"))
+    leaves = leaves.select("row", "id", "cut.leaf", "cut.text").repartition(parts(docs), "row", "leaf").select("row", "id", "leaf", leaf_ids("text").alias("ids"))
+    trees = leaves.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("leaf", "ids"))).alias("leaves"))  # the tokens of one text
+    long = trees.select("id", joined("leaves").alias("s"))
     return short.unionByName(long).select(F.col("id").alias(id_col), "s.ids", "s.decoded")
 
 
