@@ -214,3 +214,26 @@ def test_binary_pins(spark):
     got = {r["k"]: r["params"] and {p["name"]: p["value"] for p in r["params"]} for r in sheet.binary_pins(rows).collect()}
     assert got[1] is None and got[2] is None and got[3] is None
     assert {k: got[0][k] for k in ("RECORD", "OWNERPARTID", "DESCRIPTION", "PINLENGTH", "LOCATION.X", "COLOR", "NAME", "DESIGNATOR", "DEFAULTVALUE")} == {"RECORD": "2", "OWNERPARTID": "-1", "DESCRIPTION": "µ", "PINLENGTH": "30", "LOCATION.X": "-10", "COLOR": "255", "NAME": "VCC", "DESIGNATOR": "A1", "DEFAULTVALUE": "dv"}
+
+
+def test_sheet_entries_and_harnesses(spark):
+    """A sheet symbol with a plain and a harness entry, a connector on a signal harness to the latter, and a label on another bundle."""
+    from tracewright.sources import sheet
+
+    text = [
+        "|HEADER=x", "|RECORD=1|LIBREFERENCE=R|CURRENTPARTID=1|DISPLAYMODECOUNT=1", "|RECORD=34|OWNERINDEX=0|NAME=Designator|TEXT=R1", "|RECORD=41|OWNERINDEX=0|NAME=Designator|TEXT=R1",
+        # two pins, to the right: their ends are at (20, 0) and (20, 50)
+        "|RECORD=2|OWNERINDEX=0|DESIGNATOR=1|PINCONGLOMERATE=0|LOCATION.X=10|LOCATION.Y=0|PINLENGTH=10", "|RECORD=2|OWNERINDEX=0|DESIGNATOR=2|PINCONGLOMERATE=0|LOCATION.X=10|LOCATION.Y=50|PINLENGTH=10",
+        # the left edge's entries at (100, 90) and (100, 70)
+        "|RECORD=15|LOCATION.X=100|LOCATION.Y=100|XSIZE=60|YSIZE=60|SHEETNAME=child|FILENAME=child.SchDoc", "|RECORD=16|OWNERINDEX=5|SIDE=0|DISTANCEFROMTOP=1|NAME=EN|IOTYPE=2", "|RECORD=16|OWNERINDEX=5|SIDE=0|DISTANCEFROMTOP=3|NAME=USB|IOTYPE=1|HARNESSTYPE=usb",
+        "|RECORD=27|LOCATIONCOUNT=3|X1=20|Y1=0|X2=20|Y2=-20|X3=30|Y3=-20", "|RECORD=27|LOCATIONCOUNT=2|X1=20|Y1=50|X2=40|Y2=50", "|RECORD=27|LOCATIONCOUNT=2|X1=30|Y1=-20|X2=100|Y2=90",
+        # a connector whose right edge's middle (60, 40) is its primary point; its left entry is at (40, 50)
+        "|RECORD=215|LOCATION.X=40|LOCATION.Y=60|XSIZE=20|YSIZE=40|PRIMARYCONNECTIONPOSITION=20|HARNESSCONNECTORSIDE=1", "|RECORD=216|SIDE=0|DISTANCEFROMTOP=1|NAME=DP", "|RECORD=217|TEXT=usb",
+        "|RECORD=218|LOCATIONCOUNT=2|X1=60|Y1=40|X2=100|Y2=70",
+    ]
+    records = spark.createDataFrame([("d", i, r) for i, r in enumerate(text)], "doc_id string, pos int, record string").select("doc_id", "pos", params.parse(F.col("record")).alias("params"))
+    got = {r["net"]: ([tuple(m) for m in r["members"]], r["ports"], [tuple(e) for e in r["entries"]]) for r in sheet.netlist(records).collect()}
+    assert got == {
+        "N00001": ([("R1", "1")], [], [("child", "child.SchDoc", "EN", 2)]),
+        "USB.DP": ([("R1", "2")], ["USB.DP"], [("child", "child.SchDoc", "USB.DP", 1)]),
+    }

@@ -712,3 +712,24 @@ def sheet_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ports = none.select("doc_id", "ord", F.lit("").alias("name"), "x", "y", F.lit(0).alias("width"), F.lit(0).alias("style"))
     found = schematic.nets(pins, lines, labels, none, ports, none.select("doc_id", "x", "y"))
     return found.select("doc_id", "net", F.array_join(F.array_sort(F.transform("members", lambda m: m["designator"])), ",").alias("members"))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS doc_id, s_suppkey AS k, s_name, s_suppkey % 2 = 0 AS even FROM supplier)
+SELECT doc_id, CASE WHEN even THEN 'bus.' || s_name ELSE 'N' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, even ORDER BY k) AS VARCHAR), 5, '0') END AS net, 'P' || k || '-1' AS members,
+  CASE WHEN even THEN 'bus.' || s_name ELSE '' END AS ports, 'child/' || CASE WHEN even THEN 'bus.' || s_name ELSE s_name END AS entries FROM s""")
+def sheet_entry_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as sheets: each supplier is a pin; even ones lie on an entry of the sheet's harness connector, which meets a harness entry of a sheet symbol, odd ones on a plain sheet entry."""
+    k = F.col("s_suppkey")
+    rows = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc_id"), k.cast("int").alias("ord"), "s_name", (k * 100_000).cast("int").alias("x"), F.lit(0).alias("y"))
+    pins = rows.select("doc_id", F.concat(F.lit("P"), F.col("ord").cast("string")).alias("designator"), F.lit("1").alias("pad"), "x", "y")
+    of_symbol = lambda df, name, kind: df.select("doc_id", "ord", F.lit("child").alias("sheet_symbol"), F.lit("child.SchDoc").alias("file_name"), name.alias("name"), F.lit(1).alias("io_type"), F.lit(kind).alias("harness_type"), "x", "y")
+    sheets = rows.where("ord % 2 = 0").select("doc_id").distinct().select("doc_id", F.lit(0).alias("ord"), F.lit(-700_000).alias("x"), F.lit(900_000).alias("y"))
+    entries = of_symbol(rows.where("ord % 2 = 1"), F.col("s_name"), None).unionByName(of_symbol(sheets, F.lit(" bus "), "H"))
+    signals = rows.where("ord % 2 = 0").select("doc_id", F.lit(0).alias("connector"), "ord", F.col("s_name").alias("name"), "x", "y")
+    none = rows.limit(0)
+    lines = none.select("doc_id", "ord", F.array(F.struct("x", "y")).alias("vertices"))
+    texts_ = none.select("doc_id", "ord", F.col("s_name").alias("text"), "x", "y")
+    ports = none.select("doc_id", "ord", F.col("s_name").alias("name"), "x", "y", F.lit(0).alias("width"), F.lit(0).alias("style"))
+    found = schematic.nets(pins, lines, texts_, texts_, ports, none.select("doc_id", "x", "y"), sheet_entries=entries, connectors=sheets.withColumn("harness_type", F.lit("H")), harness_entries=signals)
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return found.select("doc_id", "net", joined("members", lambda m: F.concat_ws("-", m["designator"], m["pad"])).alias("members"), F.array_join("ports", ",").alias("ports"), joined("entries", lambda e: F.concat_ws("/", e["sheet_symbol"], e["entry"])).alias("entries"))

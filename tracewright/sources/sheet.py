@@ -18,6 +18,9 @@ UNIT = 100_000
 #: Record numbers.
 COMPONENT, PIN, SHEET_SYMBOL, SHEET_ENTRY, POWER, PORT, LABEL, WIRE, JUNCTION, BUS_ENTRY, PARAMETER, IMPLEMENTATION_LIST, IMPLEMENTATION, MAP_LIST, MAP = 1, 2, 15, 16, 17, 18, 25, 27, 29, 37, 41, 44, 45, 46, 47
 SHEET_NAME, FILE_NAME = 32, 33
+CONNECTOR, HARNESS_ENTRY, HARNESS_TYPE, SIGNAL_HARNESS = 215, 216, 217, 218
+#: Fixed value: grid units of a step in which entries' distances are given.
+SLOT = 10
 #: Keys of sheet records, as {column: (key, how to read it)}.
 SHEET_RECORDS: dict[int, dict[str, tuple[str, str]]] = {
     COMPONENT: {
@@ -35,6 +38,9 @@ SHEET_RECORDS: dict[int, dict[str, tuple[str, str]]] = {
     PARAMETER: {"name": ("NAME", "text"), "value": ("TEXT", "text")},
     IMPLEMENTATION: {"model_name": ("MODELNAME", "text"), "model_type": ("MODELTYPE", "text"), "is_current": ("ISCURRENT", "bool")},
     MAP: {"pad": ("DESINTF", "text")},
+    CONNECTOR: {"side": ("HARNESSCONNECTORSIDE", "int")},
+    HARNESS_ENTRY: {"side": ("SIDE", "int"), "name": ("NAME", "text")},
+    HARNESS_TYPE: {"text": ("TEXT", "text")},
 }
 
 
@@ -96,6 +102,48 @@ def pad_maps(rows: DataFrame) -> DataFrame:
     return found.where("pad is not null").select("doc_id", "component_ord", "ord", "pad", "pads")
 
 
+def _distance(p: Column) -> Column:
+    """Of an entry from the start of its edge: whole slots of ten units, and a fraction."""
+    part = lambda k: F.coalesce(params.as_int(params.first(p, k)), F.lit(0)).cast("bigint")
+    return (part("DISTANCEFROMTOP") * (SLOT * UNIT) + part("DISTANCEFROMTOP_FRAC")).cast("int")
+
+
+def _on_edge(entries: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """``entries`` (doc_id, ``key``, side, distance) with x and y on the edge of their box (doc_id, ``key``, bx, by, x_size, y_size)."""
+    x, y = schematic.edge_point(*(F.col(c) for c in ("bx", "by", "x_size", "y_size", "side", "distance")))
+    return entries.drop("x", "y").join(boxes, ["doc_id", key]).withColumn("x", x).withColumn("y", y).drop("bx", "by", "x_size", "y_size")
+
+
+def _under(rows: DataFrame, kind: int, name: str) -> DataFrame:
+    """``rows`` with the last record of ``kind`` at or before each, as entries follow what they belong to."""
+    w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumn(name, F.last(F.when(F.col("kind") == kind, F.col("ord")), ignorenulls=True).over(w))
+
+
+def sheet_entries(rows: DataFrame) -> DataFrame:
+    """(doc_id, ord, sheet_symbol, file_name, name, io_type, harness_type, x, y) of the entries of sheet symbols."""
+    p = F.col("params")
+    box = of(rows, SHEET_SYMBOL, x_size=length(p, "XSIZE"), y_size=length(p, "YSIZE")).select("doc_id", F.col("ord").alias("symbol"), F.col("x").alias("bx"), F.col("y").alias("by"), "x_size", "y_size")
+    owner = _under(rows, SHEET_SYMBOL, "symbol").where(F.col("kind") == SHEET_ENTRY).select("doc_id", "ord", "symbol")
+    found = _on_edge(of(rows, SHEET_ENTRY, distance=_distance(p)).join(owner, ["doc_id", "ord"]), box, "symbol")
+    names = symbol_identity(rows).select("doc_id", F.col("ord").alias("symbol"), F.col("name").alias("sheet_symbol"), "file_name")
+    return found.join(names, ["doc_id", "symbol"]).select("doc_id", "ord", "sheet_symbol", "file_name", F.coalesce("name", F.lit("")).alias("name"), "io_type", "harness_type", "x", "y")
+
+
+def harnesses(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Connectors (doc_id, ord, harness_type, x, y) by their primary points, and their entries (doc_id, connector, ord, name, x, y)."""
+    p = F.col("params")
+    under = _under(rows, CONNECTOR, "connector")
+    kinds = under.where(F.col("kind") == HARNESS_TYPE).select("doc_id", "connector", "pos", params.first(p, "TEXT").alias("text"))
+    kinds = kinds.groupBy("doc_id", "connector").agg(F.max_by("text", "pos").alias("harness_type"))
+    found = of(rows, CONNECTOR, x_size=length(p, "XSIZE"), y_size=length(p, "YSIZE"), distance=length(p, "PRIMARYCONNECTIONPOSITION")).withColumn("connector", F.col("ord"))
+    box = found.select("doc_id", "connector", F.col("x").alias("bx"), F.col("y").alias("by"), "x_size", "y_size")
+    owner = under.where(F.col("kind") == HARNESS_ENTRY).select("doc_id", "ord", "connector")
+    entries = _on_edge(of(rows, HARNESS_ENTRY, distance=_distance(p)).join(owner, ["doc_id", "ord"]), box, "connector")
+    connectors = _on_edge(found.drop("x_size", "y_size"), box, "connector").join(kinds, ["doc_id", "connector"], "left")
+    return connectors.select("doc_id", "ord", "harness_type", "x", "y"), entries.select("doc_id", "connector", "ord", F.coalesce("name", F.lit("")).alias("name"), "x", "y")
+
+
 def netlist(records: DataFrame) -> DataFrame:
     """The nets of each sheet, as ``schematic.nets`` gives them."""
     rows = written(placed(records), "records")
@@ -107,11 +155,13 @@ def netlist(records: DataFrame) -> DataFrame:
     pins = pins.where(schematic.visible(F.col("part"), F.col("current_part_id"), F.col("mode"), F.col("display_mode"), F.col("display_mode_count")))
     pins = pins.withColumn("pad", F.coalesce("designator", "name")).where("pad <> ''").withColumn("orientation", F.col("conglomerate").bitwiseAND(F.lit(3)))
     pins = schematic.fan_out(schematic.pin_end(pins), pad_maps(rows)).select("doc_id", F.col("refdes").alias("designator"), "pad", "x", "y")
-    wires = rows.where(F.col("kind") == WIRE).select("doc_id", "ord", params.vertices(p, F.coalesce(params.as_int(params.first(p, "LOCATIONCOUNT")), F.lit(0))).alias("vertices"))
-    ports = of(rows, PORT, width=length(p, "WIDTH")).where(F.coalesce(F.trim("harness_type"), F.lit("")) == "")
+    lines = lambda kind: rows.where(F.col("kind") == kind).select("doc_id", "ord", params.vertices(p, F.coalesce(params.as_int(params.first(p, "LOCATIONCOUNT")), F.lit(0))).alias("vertices"))
+    ports = of(rows, PORT, width=length(p, "WIDTH"))
     bus = of(rows, BUS_ENTRY, corner_x=length(p, "CORNER.X"), corner_y=length(p, "CORNER.Y"))
-    pins, wires = written(pins, "pins"), written(wires, "wires")
-    return schematic.nets(pins, wires, of(rows, LABEL), of(rows, POWER), ports, of(rows, JUNCTION), bus)
+    pins, wires = written(pins, "pins"), written(lines(WIRE), "wires")
+    connectors, harness_entries = harnesses(rows)
+    entries = written(sheet_entries(rows), "entries")
+    return schematic.nets(pins, wires, of(rows, LABEL), of(rows, POWER), ports, of(rows, JUNCTION), bus, entries, lines(SIGNAL_HARNESS), written(connectors, "connectors"), written(harness_entries, "harness_entries"))
 
 
 def symbol_identity(rows: DataFrame) -> DataFrame:
@@ -131,8 +181,13 @@ def symbol_identity(rows: DataFrame) -> DataFrame:
     step = 10 * UNIT
 
     def near(kind: int, out: str, above: int) -> DataFrame:
-        d = F.abs(F.col("nx") - F.col("x")) + F.abs(F.col("ny") - F.col("y") - above)
-        return symbols.select("doc_id", "ord", "x", "y").join(notes.where(F.col("kind") == kind).select("doc_id", "note", "text", "nx", "ny"), "doc_id").withColumn("d", d).where(F.col("d") <= 2 * step).groupBy("doc_id", "ord").agg(F.min_by("text", F.struct("d", "note")).alias(out))
+        """They meet by cells as wide as the reach: a note goes to the nine around it."""
+        cell = lambda c: F.floor(c / (2 * step))
+        around = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: cell(F.col(c)) + i))
+        spread = notes.where(F.col("kind") == kind).select("doc_id", "note", "text", "nx", "ny").withColumn("cx", around("nx")).withColumn("cy", around("ny"))
+        places = symbols.select("doc_id", "ord", "x", (F.col("y").cast("bigint") + above).alias("y")).withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y")))
+        d = F.abs(F.col("nx") - F.col("x")) + F.abs(F.col("ny") - F.col("y"))
+        return places.join(spread, ["doc_id", "cx", "cy"]).withColumn("d", d).where(F.col("d") <= 2 * step).groupBy("doc_id", "ord").agg(F.min_by("text", F.struct("d", "note")).alias(out))
 
     filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
     out = symbols
