@@ -374,9 +374,11 @@ def test_licences_and_inheritance(spark):
     assert licences.inherit(licences.own(df.limit(0))).count() == 0
 
 
+DF = {"the": 900, "of": 900, "or": 700, "and": 900, "to": 900, "this": 600, "license": 100, "licensed": 90, "version": 80, "under": 500, "software": 60, "in": 800, "a": 900, "you": 300, "may": 300}
+
+
 def test_licences_inside_lines_and_spdx():
-    df = {"the": 900, "license": 100, "licensed": 90, "version": 80, "under": 500, "mit": 400}
-    m = licences.Matcher(licences.TEMPLATES, df, 1000)
+    m = licences.Matcher(licences.TEMPLATES, DF | {"mit": 400}, 1000)
     for name, text in licences.TEMPLATES:
         for line in (f"Copyright 2024 Foo Inc. {text}", f"In all of this work, which we made with care, {text} Ask the authors for more.", text.replace(" ", "\n# ")):
             assert m.best(f"some words of prose\n{line}\nand others") == (name, 1.0)
@@ -384,6 +386,58 @@ def test_licences_inside_lines_and_spdx():
         assert m.best(text)[0] == found
 
 
+def test_licence_files_and_headers_as_they_are_met():
+    """Files with titles, holders, other line breaks and small changes; none of these is a template."""
+    m = licences.Matcher(licences.TEMPLATES, DF, 1000)
+    of = {name: text for name, text in reversed(licences.TEMPLATES)}
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    assert m.best("MIT License\n\nCopyright (c) 2019 Jane Doe and contributors\n\n" + wrap(of["MIT"], 11))[0] == "MIT"
+    assert m.best("Copyright (c) 2011, Example Org\nAll rights reserved.\n\n" + wrap(of["BSD-3-Clause"].replace("copyright holder", "Example Org"), 12))[0] == "BSD-3-Clause"
+    assert m.best("Copyright 2020 J. Doe\n\n" + wrap(of["BSD-2-Clause"], 9))[0] == "BSD-2-Clause"
+    assert m.best("ISC License\n\nCopyright (c) 2004 Someone\n\n" + wrap(of["ISC"], 13))[0] == "ISC"
+    header = "\n".join("# " + x for x in wrap("Copyright 2018 The Authors. " + next(t for n, t in licences.TEMPLATES if n == "Apache-2.0" and "may not use" in t), 12).split("\n"))
+    assert m.best(f"#!/usr/bin/env python\n{header}\nimport os\n" + "print(1)\n" * 200)[0] == "Apache-2.0"
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n      means the terms and conditions for use\n" + "and many more clauses follow here\n" * 50
+    assert m.best(apache)[0] == "Apache-2.0"
+    gpl = "\n * ".join(wrap("foo.c - a program\nCopyright (C) 2010 Someone\n" + licences.gnu_notice("General Public License", "3").replace("This program", "Foo"), 10).split("\n"))
+    assert m.best(f"/*\n * {gpl}\n */\nint main() {{ return 0; }}\n")[0] == "GPL-3.0"
+    assert m.best("                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation\n" + "Everyone is permitted to read on\n" * 40)[0] == "AGPL-3.0"
+    for plain in ("The version of the software in this file is provided to any person of the free public", "a general public meeting under the terms of the city", ""):
+        assert m.best(plain) == (None, 0.0)
+
+
+def test_best_template_equals_brute_force():
+    """Dense cosines of all lines, all paragraphs, the whole text and the windows, with no cue to rule any out."""
+    r = random.Random(12)
+    few = licences.TEMPLATES[-8:]
+    m = licences.Matcher(few, DF, 1000)
+    words = [t for _, text in few for t in licences.terms(text)] + [f"other{i}" for i in range(10)]
+
+    def cosine(unit, template):
+        a, b = collections.Counter(unit), collections.Counter(licences.terms(template))
+        w = lambda t: math.log(1 + 1000 / (1 + DF.get(t, 0))) if any(t in licences.terms(x) for _, x in few) else math.log(1 + 1000)
+        dot = sum(a[t] * b[t] * w(t) ** 2 for t in a)
+        size = lambda c: math.sqrt(sum((n * w(t)) ** 2 for t, n in c.items()))
+        return dot / (size(a) * size(b)) if a and dot else 0.0
+
+    hits = 0
+    for _ in range(150):
+        _, text = few[r.randrange(len(few))]
+        inner = [t for t in licences.terms(text) if r.random() > 0.08]
+        whole = [r.choice(words) for _ in range(r.randint(0, 6))] + inner + [r.choice(words) for _ in range(r.randint(0, 6))]
+        shown = "".join(t + r.choice([" ", " ", " ", "\n", "\n\n"]) for t in whole)
+        units = [whole] + [licences.terms(x) for x in [*shown.split("\n"), *re.split(r"\n\s*\n", shown)]]
+        for i, t in enumerate(whole):
+            for _, template in few:
+                own = licences.terms(template)
+                units += [whole[max(0, i - q) : i - q + len(own)] for q, u in enumerate(own) if u == t and t in m.cues]
+        best = max(cosine(u, template) for u in units for _, template in few)
+        name, score = m.best(shown)
+        hits += name is not None
+        assert score == pytest.approx(best, abs=1e-9) if best >= licences.LEAST + 1e-9 else name is None or best > licences.LEAST - 1e-9
+    assert hits > 50
+
+
 def test_cues_lose_no_match():
     df = {"the": 900, "license": 100, "licensed": 90, "version": 80, "under": 500}
     m = licences.Matcher(licences.TEMPLATES, df, 1000)
