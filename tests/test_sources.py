@@ -237,3 +237,23 @@ def test_sheet_entries_and_harnesses(spark):
         "N00001": ([("R1", "1")], [], [("child", "child.SchDoc", "EN", 2)]),
         "USB.DP": ([("R1", "2")], ["USB.DP"], [("child", "child.SchDoc", "USB.DP", 1)]),
     }
+
+
+def test_regions_and_bodies(spark):
+    from tracewright.sources import board
+
+    def body(record: bytes, *corners, holes=()):
+        head = struct.pack("<BHHHHI", 1, board.UNLOCKED, 4, 0xFFFF, 2, 0xFFFFFFFF) + b"\0" * 5
+        flat = lambda ps: struct.pack("<I", len(ps)) + b"".join(struct.pack("<dd", *p) for p in ps)
+        return head + struct.pack("<I", len(record) + 1) + record + b"\0" + flat(corners) + b"".join(flat(h) for h in holes)
+
+    square = [(0.5, -0.5), (1e12, 2.4), (float("nan"), -2.6)]
+    cut = body(b"|HOLECOUNT=3", *square, holes=[[(1.0, 2.0)]]) + struct.pack("<I", 9)
+    stream = b"".join(primitive(k, d) for k, d in ((11, cut), (12, body(b"|MODELID={A}|STANDOFFHEIGHT=1mil|MODEL.CHECKSUM=-5", *square)), (11, cut[:30]), (11, b"")))
+    rows = board.raw_records(spark.createDataFrame([("p", "s", stream)], "path string, storage string, data binary"))
+    (r,) = board.regions(rows).collect()
+    assert [tuple(v) for v in r["outline"]] == [(1, -1), (2**31 - 1, 2), (0, -3)] and [[tuple(v) for v in h] for h in r["holes"]] == [[(1, 2)]]
+    assert (r["net_index"], r["component_index"], r["sub_poly_index"]) == (5, 2, -1)
+    (b,) = board.bodies(rows).collect()
+    assert [tuple(v) for v in b["outline"]] == [(0, 0), (2**31 - 1, 2), (0, -2)] and (b["model_id"], b["standoff_height"], b["model_checksum"]) == ("{A}", 10000, -5)
+    assert {x["error"] for x in board.shape_regions(rows).collect()} == {"more vertices than the record holds", "the record is too short"}

@@ -23,6 +23,7 @@ RECORDS: dict[str, dict[str, tuple[str, str]]] = {
         "rotation": ("ROTATION", "double"), "layer_name": ("LAYER", "text"), "component_kind": ("COMPONENTKIND", "int"), "kind_v2": ("COMPONENTKINDVERSION2", "int"), "source_designator": ("SOURCEDESIGNATOR", "text"),
         "source_lib_reference": ("SOURCELIBREFERENCE", "text"), "source_description": ("SOURCEDESCRIPTION", "text"), "unique_id": ("UNIQUEID", "text"), "locked_strings": ("LOCKSTRINGS", "flag"),
     },
+    "differential_pair": {"name": ("NAME", "text"), "positive_net": ("POSITIVENETNAME", "text"), "negative_net": ("NEGATIVENETNAME", "text"), "unique_id": ("UNIQUEID", "text")},
     "embedded_board": {
         "document_path": ("DOCUMENTPATH", "text"), "x": ("X", "length"), "y": ("Y", "length"), "rotation": ("ROTATION", "double"), "mirror": ("MIRRORFLAG", "flag"), "cols": ("COLCOUNT", "int"), "rows": ("ROWCOUNT", "int"),
         "dx": ("COLSPACING", "length"), "dy": ("ROWSPACING", "length"),

@@ -118,6 +118,42 @@ def board_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(board.texts(_records(spark, sf_dir, 5, block(_head(), _ints(_cents(), -_cents(), F.col("p_size") * 5)), words)), *KEPT, "x", "y", "height", "text")
 
 
+CORNERS = (0.0, 1000.5, -1000.5, 999.4)
+
+
+def _corners(*index: int) -> Column:
+    return F.concat(*(raw(struct.pack("<dd", CORNERS[i], CORNERS[(i + 1) % 4])) for i in index))
+
+
+def _shape(pairs: str, *rest: Column) -> Column:
+    record = F.concat(F.lit(pairs), F.lit("|NAME="), F.col("p_name"))
+    return block(_head(), raw(b"\0" * board.GAP), block(record.cast("binary"), raw(b"\0")), *rest)
+
+
+@query(f"SELECT p_partkey, {_HEAD}, p_name AS name, CAST(p_size % 3 - 1 AS INTEGER) AS sub_poly_index, CAST(1001 AS INTEGER) AS x, CAST(-1001 AS INTEGER) AS y, CAST(2 AS INTEGER) AS hole, CAST(999 AS INTEGER) AS hole_x FROM part")
+def board_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = block(_head(), raw(b"\0" * board.GAP), block(F.concat(F.lit("|KIND=0|HOLECOUNT=1|SUBPOLYINDEX="), (F.col("p_size") % 3 - 1).cast("string"), F.lit("|NAME="), F.col("p_name")).cast("binary"), raw(b"\0")), le(F.lit(3), 4), _corners(0, 1, 2), le(F.lit(2), 4), _corners(3, 0))
+    found = board.regions(_records(spark, sf_dir, 11, data))
+    v, h = F.col("outline"), F.col("holes")
+    return _part(found.select("path", *KEPT, "name", "sub_poly_index", v[1]["x"].alias("x"), v[1]["y"].alias("y"), F.size(h[0]).alias("hole"), h[0][0]["x"].alias("hole_x")), *KEPT, "name", "sub_poly_index", "x", "y", "hole", "hole_x")
+
+
+@query(f"SELECT p_partkey, {_HEAD}, p_name AS name, CAST(1000 AS INTEGER) AS x, CAST(-1000 AS INTEGER) AS y, CAST(150000 AS INTEGER) AS overall_height, CAST(-1 AS INTEGER) AS model_checksum, CAST(12.5 AS DOUBLE) AS model_rotation_z FROM part")
+def board_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = board.bodies(_records(spark, sf_dir, 12, _shape("|OVERALLHEIGHT=15mil|MODEL.CHECKSUM=4294967295|MODEL.3D.ROTZ=12.500", le(F.lit(2), 4), _corners(1, 2))))
+    return _part(found.select("path", *KEPT, "name", F.col("outline")[0]["x"].alias("x"), F.col("outline")[0]["y"].alias("y"), "overall_height", "model_checksum", "model_rotation_z"), *KEPT, "name", "x", "y", "overall_height", "model_checksum", "model_rotation_z")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN p_name END AS name, CASE WHEN p_size % 4 <> 0 THEN CAST(2 AS INTEGER) END AS vertices, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS INTEGER) END AS cx, CASE WHEN p_size % 4 <> 0 THEN CAST(90.0 AS DOUBLE) END AS end_angle,
+CASE WHEN p_size % 4 = 0 THEN 'more vertices than the record holds' END AS error FROM part""")
+def board_shape_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    vertex = F.concat(raw(b"\x01"), _ints(n * 2, n * 3, n, -n, n * 5), raw(struct.pack("<dd", 0.0, 90.0)))
+    found = board.shape_regions(_records(spark, sf_dir, 11, _shape("|KIND=0", le(F.when(n % 4 == 0, 7).otherwise(1), 4), vertex, vertex)))
+    v = F.col("vertices")
+    return _part(found.select("path", params.first(F.col("params"), "NAME").alias("name"), F.when(v.isNotNull(), F.size(v)).alias("vertices"), v[1]["cx"].alias("cx"), v[0]["end_angle"].alias("end_angle"), "error"), "name", "vertices", "cx", "end_angle", "error")
+
+
 @query("SELECT s_suppkey, n_name AS net, CAST(s_nationkey + 1 AS INTEGER) AS net_index FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey < 20")
 def net_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     prims = t(spark, sf_dir, "supplier").select("s_suppkey", F.lit("b").alias("path"), (F.col("s_nationkey") + 1).cast("int").alias("net_index"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import binary, params
+from ..functions import binary, params, units
 from ..functions.bits import has_bit
 from ..functions.text import code_points
 
@@ -185,3 +186,136 @@ def component_parameters(streams: DataFrame) -> DataFrame:
     udf = F.pandas_udf(blocks, "array<binary>")
     rows = streams.where("data is not null").select("path", F.posexplode_outer(F.coalesce(udf("data"), F.array(F.lit(None).cast("binary")))).alias("ord", "block"))
     return rows.where("ord is not null").select("path", "ord", F.when(F.col("block").isNotNull(), params.parse(decoded(F.col("block")))).alias("params"))
+
+
+# -- regions and bodies: their corners are of varying number, so Python cuts them in Arrow batches
+
+_POINTS = "array<struct<x:int,y:int>>"
+_EXACT = "array<struct<x:double,y:double>>"
+_VERTEX = "array<struct<is_round:boolean,x:int,y:int,cx:int,cy:int,radius:int,start_angle:double,end_angle:double>>"
+#: Fixed value: bytes between the prefix and the parameters.
+GAP = 5
+
+
+def _whole(v: float, rounded: bool) -> int:
+    """A coordinate, half away from zero or towards zero, held in the range of INT; 0 for what is no number."""
+    if v != v:
+        return 0
+    held = min(max(v, -(2.0**31)), 2.0**31 - 1)
+    return int(math.copysign(math.floor(abs(held) + 0.5), held)) if rounded else int(held)
+
+
+def _framed(data: bytes) -> tuple[bytes, int]:
+    """The parameter text behind the prefix, and where what follows begins."""
+    at = PREFIX + GAP
+    size = struct.unpack_from("<I", data, at)[0] & 0xFFFFFF
+    if at + 4 + size > len(data):
+        raise struct.error("parameters overrun the record")
+    return data[at + 4 : at + 4 + size].split(b"\0", 1)[0], at + 4 + size
+
+
+def _hole_count(record: bytes) -> int:
+    for pair in record.split(b"|"):
+        key, _, value = pair.partition(b"=")
+        if key.upper() == b"HOLECOUNT":
+            return max(int(value), 0) if value.strip().lstrip(b"+-").isdigit() else 0
+    return 0
+
+
+def _doubles(data: bytes, at: int, n: int) -> list[tuple[float, float]]:
+    flat = struct.unpack_from(f"<{2 * n}d", data, at)
+    return list(zip(flat[::2], flat[1::2]))
+
+
+def outlined(data: bytes, rounded: bool) -> dict | None:
+    """Parameters, outline and holes; holes end where the record does. Null for a record that is empty or too short."""
+    try:
+        record, at = _framed(data)
+        n = struct.unpack_from("<I", data, at)[0]
+        if n * 16 > len(data) - at - 4:
+            return None
+        point = lambda p: {"x": _whole(p[0], rounded), "y": _whole(p[1], rounded)}
+        outline, holes = [point(p) for p in _doubles(data, at + 4, n)], []
+        at += 4 + 16 * n
+        for _ in range(_hole_count(record)):
+            if at + 4 > len(data) or (n := struct.unpack_from("<I", data, at)[0]) * 16 > len(data) - at - 4:
+                break
+            holes.append([point(p) for p in _doubles(data, at + 4, n)])
+            at += 4 + 16 * n
+        return {"record": record, "outline": outline, "holes": holes}
+    except struct.error:
+        return None
+
+
+def shaped(data: bytes) -> dict:
+    """Parameters, vertices with the closing one, and holes; or what is wrong."""
+    none = {"record": None, "vertices": None, "holes": None}
+    try:
+        record, at = _framed(data)
+        n = struct.unpack_from("<I", data, at)[0] + 1
+        at += 4
+        if n * 37 > len(data) - at:
+            return none | {"error": "more vertices than the record holds"}
+        names = ("is_round", "x", "y", "cx", "cy", "radius", "start_angle", "end_angle")
+        vertices = [dict(zip(names, struct.unpack_from("<?5i2d", data, at + 37 * i))) for i in range(n)]
+        at += 37 * n
+        holes = []
+        for _ in range(_hole_count(record)):
+            n = struct.unpack_from("<I", data, at)[0]
+            if n * 16 > len(data) - at - 4:
+                return none | {"error": "a hole with more vertices than the record holds"}
+            holes.append([{"x": x, "y": y} for x, y in _doubles(data, at + 4, n)])
+            at += 4 + 16 * n
+        return {"record": record, "vertices": vertices, "holes": holes, "error": None}
+    except struct.error:
+        return none | {"error": "the record is too short"}
+
+
+def _cut_by(f, kind: str):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [f(bytes(d)) if d is not None else None for d in b]
+            yield pd.DataFrame({k: pd.Series([None if x is None else x[k] for x in found], dtype=object) for k in kind})
+
+    return run
+
+
+def _outlined(records: DataFrame, kind: int, rounded: bool) -> DataFrame:
+    from .text import decoded
+
+    rows, b = _of(records, kind)
+    run = _cut_by(lambda d: outlined(d, rounded), ("record", "outline", "holes"))
+    udf = F.pandas_udf(run, f"record binary, outline {_POINTS}, holes array<{_POINTS}>")
+    found = rows.select("path", "storage", "ord", *prefix(b), udf("__b").alias("s")).where("s.record is not null")
+    return found.withColumn("params", params.parse(decoded(F.col("s.record")))).withColumn("outline", F.col("s.outline")).withColumn("holes", F.col("s.holes")).drop("s")
+
+
+def regions(records: DataFrame) -> DataFrame:
+    """Regions with their parameters: kind, place among a polygon's parts (-1 for none), name and cavity height beside the rest."""
+    found, p = _outlined(records, 11, True), F.col("params")
+    number = lambda k, d: F.coalesce(params.as_int(params.first(p, k)), F.lit(d))
+    return found.select("*", number("KIND", 0).alias("region_kind"), number("SUBPOLYINDEX", -1).alias("sub_poly_index"), params.first(p, "NAME").alias("name"), params.first(p, "NET").alias("net"), params.as_explicit_bool(params.first(p, "ISSHAPEBASED")).alias("is_shape_based"))
+
+
+def bodies(records: DataFrame) -> DataFrame:
+    """Component bodies; corners are cut towards zero. Lengths are texts with a unit; the model's checksum may be written without a sign."""
+    found, p = _outlined(records, 12, False), F.col("params")
+    text = lambda k: params.first(p, k)
+    length = lambda k: F.coalesce(units.parse_length(text(k)), F.lit(0))
+    number = lambda k: F.coalesce(params.as_double(text(k)), F.lit(0.0))
+    wide = F.trim(text("MODEL.CHECKSUM")).try_cast("bigint")
+    return found.select(
+        "*", text("NAME").alias("name"), text("V7_LAYER").alias("layer_name"), length("STANDOFFHEIGHT").alias("standoff_height"), length("OVERALLHEIGHT").alias("overall_height"), text("MODELID").alias("model_id"),
+        params.as_explicit_bool(text("MODEL.EMBED")).alias("model_embed"), length("MODEL.2D.X").alias("model_x"), length("MODEL.2D.Y").alias("model_y"), number("MODEL.2D.ROTATION").alias("model_rotation"),
+        *(number(f"MODEL.3D.ROT{a}").alias(f"model_rotation_{a.lower()}") for a in "XYZ"), length("MODEL.3D.DZ").alias("model_dz"), F.when(wide >= 2**31, wide - 2**32).otherwise(wide).cast("int").alias("model_checksum"),
+    )
+
+
+def shape_regions(records: DataFrame) -> DataFrame:
+    """Regions whose vertices carry their arcs, of a stream of their own; ``error`` says what is wrong with a record."""
+    from .text import decoded
+
+    rows, b = _of(records, 11)
+    udf = F.pandas_udf(_cut_by(shaped, ("record", "vertices", "holes", "error")), f"record binary, vertices {_VERTEX}, holes array<{_EXACT}>, error string")
+    found = rows.select("path", "storage", "ord", *prefix(b), udf("__b").alias("s"))
+    return found.withColumn("params", F.when(F.col("s.record").isNotNull(), params.parse(decoded(F.col("s.record"))))).withColumn("vertices", F.col("s.vertices")).withColumn("holes", F.col("s.holes")).withColumn("error", F.col("s.error")).drop("s")
