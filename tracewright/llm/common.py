@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_dir, written  # noqa: F401
+from ..functions.shared import scratch, shared_dir, written  # noqa: F401
 
 BATCH_ROWS = 500
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import small_batches, table, written
+from .common import scratch, small_batches, table, written
 
 SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 40
 #: K-mers of a tuple; the longer ones part the buckets of more than ``CROWD`` texts that agree in the shorter.
@@ -152,10 +152,10 @@ def sketch(text: str) -> tuple[int, list[int], list[list[int]]]:
         return 0, [], none
     if len(words) <= least_common(SHORT):  # all that it can be linked to have such keys
         return len(words), short_keys(words), none
-    return len(words), short_keys(words), tuples(labelled(kmers(words))).tolist()
+    return len(words), short_keys(words), tuples(labelled(kmers(words)))
 
 
-def tuples(x: np.ndarray) -> np.ndarray:
+def tuples(x: np.ndarray) -> list[list[int]]:
     """For each size of tuple a row of ``SKETCHES`` hashes; a longer tuple holds the shorter ones' k-mers."""
     a, b = seeds()
     most = min(PICK[-1], len(x))
@@ -173,8 +173,9 @@ def tuples(x: np.ndarray) -> np.ndarray:
         h = np.arange(1, SKETCHES + 1, dtype=U) * U(0x2545F4914F6CDD1D)
         for j in range(picked.shape[1]):
             h = mixed(h * U(0x9E3779B97F4A7C15) + picked[:, j])
-        out.append(h)
-    return np.stack(out).view(np.int64)
+        out.append(h.view(np.int64))
+    # Longer tuples only part what agrees in the shorter ones: half of their hashes' bits are enough.
+    return [out[0].tolist()] + [h.astype(np.int32).tolist() for h in out[1:]]
 
 
 def in_common(a: np.ndarray, b: np.ndarray) -> int:
@@ -293,12 +294,12 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def cells(left: DataFrame) -> DataFrame:
-    """``left`` (band, item, n, ...) with ``cell`` and ``side``: the cells in which what is left of a bucket is settled."""
+    """``left`` (band, item, n, size, ...) with ``cell`` and ``side``: the cells in which what is left of a bucket is settled."""
     words = left.groupBy("band").agg(F.sum("n").alias("words"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band", "words")
     left = left.join(words, "band")
     none = F.array(F.lit(-1), F.lit(-1), F.lit(-1), F.lit(-1))
-    small = left.where(F.col("words") <= CELL_WORDS).drop("words").withColumn("cell", none).withColumn("side", F.lit(-1))
-    large = left.where(F.col("words") > CELL_WORDS).drop("words").withColumn("size", F.floor(F.log(F.col("n")) / math.log(1.01 / SIMILARITY)).cast("int"))
+    small = left.where(F.col("words") <= CELL_WORDS).drop("words", "size").withColumn("cell", none).withColumn("side", F.lit(-1))
+    large = left.where(F.col("words") > CELL_WORDS).drop("words")
     blocks = large.groupBy("band", "size").agg(F.ceil(F.sum("n") / CELL_WORDS).cast("int").alias("blocks"))
     beside = lambda step, name: blocks.select("band", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))
     large = large.join(blocks, ["band", "size"]).join(beside(1, "above"), ["band", "size"], "left").join(beside(-1, "below"), ["band", "size"], "left")
@@ -320,47 +321,80 @@ def cells(left: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id, ``key`` (of the text, null for a null text), ``class_id``, the least id of its class, and ``first``, whether its id and text are those that stand for the class."""
     small_batches(docs.sparkSession)
-    near = 1 - SIMILARITY + 1e-9
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.md5(text_col)).alias("key"))
+    with scratch(docs.sparkSession):
+        of_key = written(firsts(rows), "firsts", keep=True)
+    return rows.select("id", "key").join(of_key, "key", "left").select(
+        F.col("id").alias(id_col), "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
+        (F.col("key").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")))).alias("first"),
+    )
+
+
+def buckets(items: DataFrame) -> DataFrame:
+    """(band, a, b): the members of each bucket with its pivot."""
+
+    def met(members: DataFrame) -> DataFrame:
+        return members.groupBy("band").agg(F.min("item").alias("b"), F.count("*").alias("members")).where("members > 1")
+
+    def with_pivot(members: DataFrame, pivots: DataFrame) -> DataFrame:
+        pivots = F.broadcast(pivots) if pivots.count() <= BROADCAST_ROWS else pivots
+        return members.join(pivots.select("band", "b"), "band").select("band", F.col("item").alias("a"), "b")
+
+    short = items.select(F.explode("short").alias("band"), "item")
+    star = with_pivot(short, written(met(short), "buckets"))
+    each, crowded = items.select(F.explode("level0").alias("band"), "item"), None
+    for k in range(len(PICK)):
+        if k:  # of the crowded ones: the next longer tuples of the same sketches
+            zipped = items.select("item", F.explode(F.arrays_zip(*(f"level{j}" for j in range(k + 1)))).alias("z"))
+            crowd = F.col("z.level0")
+            for j in range(1, k):
+                crowd = F.xxhash64(crowd, f"z.level{j}")
+            each = zipped.select("item", crowd.alias("crowd"), F.col(f"z.level{k}").alias("longer")).join(crowded, "crowd").select(F.xxhash64("crowd", "longer").alias("band"), "item")
+        found = written(met(each), "buckets")
+        last = k + 1 == len(PICK)
+        star = star.unionByName(with_pivot(each, found if last else found.where(F.col("members") <= CROWD)))
+        crowded = found.where(F.col("members") > CROWD).select(F.col("band").alias("crowd"))
+        n = crowded.count()
+        if last or not n:
+            return written(star, "star")
+        crowded = F.broadcast(crowded) if n <= BROADCAST_ROWS else crowded
+
 
-    levels = [f"level{k}" for k in range(len(PICK))]
+def firsts(rows: DataFrame) -> DataFrame:
+    """(key, first): of each text of ``rows`` (id, text, key) the id and key of the row that stands for its class."""
+    near = 1 - SIMILARITY + 1e-9
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    @F.pandas_udf("n int, short array<bigint>," + ",".join(f"{c} array<bigint>" for c in levels))
+    @F.pandas_udf("n int, short array<bigint>," + ",".join(f"level{k} array<{'int' if k else 'bigint'}>" for k in range(len(PICK))))
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [sketch(t) for t in texts]
-            yield pd.DataFrame({"n": [n for n, _, _ in found], "short": [s for _, s, _ in found]} | {c: [x[k] for *_, x in found] for k, c in enumerate(levels)})
+            yield pd.DataFrame({"n": [n for n, _, _ in found], "short": [s for _, s, _ in found]} | {f"level{k}": [x[k] for *_, x in found] for k in range(len(PICK))})
 
     # One item for each text: the row with the least id that has it.
-    copies = rows.where("text is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    rows = rows.where("text is not null")
+    copies = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     copies = written(copies.where("copies > 1"), "copies")
-    few = copies.count() <= BROADCAST_ROWS
-    first = rows.where("text is not null").join(F.broadcast(copies) if few else copies, "key", "left").where(F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("least")))
-    items = first.select("id", "key", "text", sketched("text").alias("s")).select(F.monotonically_increasing_id().alias("item"), "id", "key", "text", "s.*")
+    first = rows.join(few(copies), "key", "left").where(F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("least")))
+    items = first.select("id", "key", sketched("text").alias("s")).select(F.monotonically_increasing_id().alias("item"), "id", "key", "s.*")
     items = written(items, "items")
+    again = items.groupBy("key").agg(F.min("item").alias("item"), F.count("*").alias("rows")).where("rows > 1")
+    if not again.isEmpty():  # rows that repeat an id and a text
+        spare = items.select("item", "key").join(again.select("key", F.col("item").alias("kept")), "key").where("item <> kept").select("item")
+        items = written(items.join(spare, "item", "left_anti"), "items")
 
-    def met(members: DataFrame) -> DataFrame:
-        return members.groupBy("band").agg(F.min("item").alias("b"), F.count("*").alias("members")).where("members > 1")
-
-    rest = items.select(F.explode("short").alias("band"), "item")
-    star = rest.join(met(rest).select("band", "b"), "band").select("band", F.col("item").alias("a"), "b")
-    crowded = None
-    for k, level in enumerate(levels):
-        each = items.select("item", F.explode(level).alias("band")) if crowded is None else items.select("item", F.explode(F.arrays_zip(levels[k - 1], level)).alias("z")).select("item", F.col(f"z.{levels[k - 1]}").alias("crowd"), F.col(f"z.{level}").alias("band")).join(crowded, "crowd").select("item", "band")
-        size = written(met(each), "buckets")
-        fit = size if k + 1 == len(levels) else size.where(F.col("members") <= CROWD)
-        star = star.unionByName(each.join(fit.select("band", "b"), "band").select("band", F.col("item").alias("a"), "b"))
-        crowded = size.where(F.col("members") > CROWD).select(F.col("band").alias("crowd"))
-        n = crowded.count()
-        if k + 1 == len(levels) or not n:
-            break
-        crowded = F.broadcast(crowded) if n <= BROADCAST_ROWS else crowded
-    star = written(star, "star")
+    star = buckets(items)
     pairs = written(star.where("a <> b").select("a", "b").distinct(), "pairs")
-    needed = written(pairs.select(F.col("a").alias("item")).unionByName(pairs.select(F.col("b").alias("item"))).distinct(), "needed")
-    few = needed.count() <= BROADCAST_ROWS
-    texts = items.select("item", "n", "text").join(F.broadcast(needed) if few else needed, "item", "left_semi")
-    found = written(salted(pairs, texts).select("a", "b", F.pandas_udf(compare, "double")("text_a", "text_b").alias("d")), "compared")
+    size = few(items.select("item", "n"))
+    sized = pairs.join(size.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
+    like = F.least("na", "nb") / F.greatest("na", "nb")  # no similarity is greater
+    sized = written(sized.select("a", "b", (1 - like).alias("d")), "sized")
+    pairs = sized.where(F.col("d") <= near).select("a", "b")
+    needed = written(pairs.select(F.col("a").alias("item")).unionByName(star.where("a <> b").select(F.col("a").alias("item"))).unionByName(star.where("a <> b").select(F.col("b").alias("item"))).distinct().join(items.select("item", "key", "id", "n"), "item"), "needed")
+    hit = few(needed).select(F.col("key").alias("k"), F.col("id").alias("i"), "item", "n")
+    texts = written(rows.join(hit, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).select("item", "n", "text").dropDuplicates(["item"]), "texts")
+    found = salted(pairs, texts).select("a", "b", F.pandas_udf(compare, "double")("text_a", "text_b").alias("d"))
+    found = written(found.unionByName(sized.where(F.col("d") > near)), "compared")
     label = written(components(found.where(F.col("d") <= near)), "classes")
 
     # Buckets of more than one class: members that failed, and those that passed and can be near to one that failed.
@@ -368,19 +402,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     judged = rooted(judged, label, "item", "root").withColumn("failed", F.col("d") > near)
     mixed_ = judged.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min(F.when(F.col("failed"), F.col("d"))).alias("nearest")).where("r <> s").select("band", "nearest")
     left = judged.join(mixed_, "band").where(F.col("failed") | (F.col("d") >= F.col("nearest") - near)).select("band", "item", "d", "failed", "root")
-    left = left.join(left.groupBy("item").agg(F.collect_list("band").alias("bands")), "item")  # at most as many as keys of a text
-    left = written(left.join(items.select("item", "n"), "item"), "left")
-    met = cells(left).join(texts.select("item", "text"), "item")
-    links = written(met.groupBy("band", "cell").applyInPandas(settle, "a long, b long"), "settled")
-    label = merged(label, links)
+    left = left.join(size, "item").withColumn("size", F.floor(F.log(F.col("n")) / math.log(1.01 / SIMILARITY)).cast("int"))
+    # Only members with another of a length that can be near, and of another class so far.
+    near_sizes = left.select("band", "root", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    met = near_sizes.groupBy("band", "size").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band", "size")
+    left = written(left.join(met, ["band", "size"]), "left")
+    left = written(left.join(left.groupBy("item").agg(F.collect_list("band").alias("bands")), "item"), "left")  # at most as many as keys of a text
+    links = cells(left).join(texts.select("item", "text"), "item").groupBy("band", "cell").applyInPandas(settle, "a long, b long")
+    label = merged(label, written(links, "settled"))
 
     ids = items.select("item", "id", "key").join(label.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
     least = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
-    of_key = ids.join(least, "root").groupBy("key").agg(F.min("first").alias("first"))
-    return rows.select("id", "key").join(of_key, "key", "left").select(
-        F.col("id").alias(id_col), "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
-        (F.col("key").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")))).alias("first"),
-    )
+    return ids.join(least, "root").select("key", "first")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,13 +422,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the row that stands for it (one of them, if rows repeat)."""
-    found = written(classes(docs), "found")
-    gone = written(found.where("not first").select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct(), "gone")
+    with scratch(spark):
+        found = written(classes(docs), "found")
+        gone = written(found.where("not first").select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct(), "gone", keep=True)
+        again = not found.where("key is not null and first").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
     few = gone.count() <= BROADCAST_ROWS
     kept = docs.withColumn("__key", F.unhex(F.md5("text")))
     kept = kept.join(F.broadcast(gone) if few else gone, kept["doc_id"].eqNullSafe(F.col("__gone_id")) & kept["__key"].eqNullSafe(F.col("__gone_key")), "left_anti")
-    again = found.where("key is not null and first").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
-    if not again:  # rows that repeat an id and a text: one of them stays
+    if again:  # rows that repeat an id and a text: one of them stays
         null_text = kept.where("__key is null")
         kept = kept.where("__key is not null").dropDuplicates(["doc_id", "__key"]).unionByName(null_text)
     return kept.select(*docs.columns)
