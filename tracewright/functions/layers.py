@@ -48,6 +48,39 @@ def normal_name(name: Column) -> Column:
     return F.upper(F.translate(name, " -", ""))
 
 
+#: Numbers of layers by their normal names, numbered series as (prefix, how many, number of the first less one).
+NUMBERS = {
+    "TOPLAYER": 1, "TOP": 1, "BOTTOMLAYER": 32, "BOTTOM": 32, "TOPOVERLAY": 33, "BOTTOMOVERLAY": 34, "TOPPASTE": 35, "BOTTOMPASTE": 36, "TOPSOLDER": 37, "BOTTOMSOLDER": 38,
+    "DRILLGUIDE": 55, "KEEPOUTLAYER": 56, "KEEPOUT": 56, "DRILLDRAWING": 73, "MULTILAYER": 74,
+}
+SERIES = (("MECHANICAL", 16, 56), ("MIDLAYER", 30, 1), ("MID", 30, 1), ("INTERNALPLANE", 16, 38), ("PLANE", 16, 38))
+#: Names that records have for layers with several, and for numbers that are none.
+WRITTEN, NAMELESS = {1: "TOPLAYER", 32: "BOTTOMLAYER", 56: "KEEPOUTLAYER"}, "MECHANICAL1"
+WRITTEN_SERIES = (("MECHANICAL", 16, 56), ("MID", 30, 1), ("INTERNALPLANE", 16, 38))
+
+
+def number_of(name: Column) -> Column:
+    """A layer's number by its name, in any case and spacing; 0 for no known name."""
+    normal = normal_name(name)
+    out = F.lit(0)
+    for known, number in NUMBERS.items():
+        out = F.when(normal == known, number).otherwise(out)
+    for prefix, count, before in SERIES:
+        n = F.regexp_extract(normal, f"^{prefix}([+]?[0-9]+)$", 1).try_cast("int")
+        out = F.when(n.between(1, count), n + before).otherwise(out)
+    return F.coalesce(out, F.lit(0)).cast("int")
+
+
+def name_of(number: Column) -> Column:
+    """The name that records have for a layer's number."""
+    out = F.lit(NAMELESS)
+    for known, n in NUMBERS.items():
+        out = F.when(number == n, WRITTEN.get(n, known)).otherwise(out)
+    for prefix, count, before in WRITTEN_SERIES:
+        out = F.when(number.between(before + 1, before + count), F.concat(F.lit(prefix), (number - before).cast("int").cast("string"))).otherwise(out)
+    return out
+
+
 #: IPC-4761 names of via structures by their number.
 VIA_STRUCTURES = ("none", "I-a", "I-b", "II-a", "II-b", "III-a", "III-b", "IV-a", "IV-b", "V", "VI-a", "VI-b", "VII")
 

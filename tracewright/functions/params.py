@@ -103,3 +103,10 @@ def vertices(params: Column, declared: Column) -> Column:
     first = F.transform(places(F.lit(1), count), lambda i: point("X", "Y", i))
     tail = F.aggregate(places(count + 1, extra), F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == i - count - 1) & present(i), F.concat(acc, F.array(i))).otherwise(acc))
     return F.concat(first, F.transform(tail, lambda i: point("EX", "EY", i)))
+
+
+def token_text(pairs: Column) -> Column:
+    """array<struct<name,value>> as comma-separated tokens ``name=value``, in quotes if they have a comma, a quote or white space."""
+    token = lambda p: F.concat(p["name"], F.lit("="), p["value"])
+    quoted = lambda t: F.when(t.rlike(r'[,"\s]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
+    return F.array_join(F.transform(F.transform(pairs, token), quoted), ",")

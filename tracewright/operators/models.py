@@ -11,8 +11,11 @@ from . import lint
 
 
 def joined(metadata: DataFrame, payloads: DataFrame) -> DataFrame:
-    """``metadata`` (doc_id, ord, id, name, checksum) with ``data``, the inflated payload of the same place (doc_id, ord, payload)."""
+    """``metadata`` (doc_id, ord, id, name, checksum) with ``data``, the inflated payload of the same place
+    (doc_id, ord, payload), and its ``text``: UTF-8 where it is that, else byte by byte."""
+    data = F.col("data")
     side = payloads.select("doc_id", "ord", "payload", inflated("payload").alias("data"))
+    side = side.withColumn("text", F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(F.decode(data, "ISO-8859-1")))
     return metadata.join(side, ["doc_id", "ord"], "left")
 
 

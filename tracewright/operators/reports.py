@@ -74,6 +74,21 @@ def bom_lines(items: DataFrame, columns: list[str], separator: str = ",") -> Dat
     return items.select("ord", F.concat_ws(separator, *(quote_bom(F.coalesce(F.col(c).cast("string"), F.lit("")), separator) for c in columns)).alias("line"))
 
 
+#: The columns of the report on catalogue items, and where they come from.
+BOM_COLUMNS = {
+    "DesignItemId": "design_item_id", "Comment": "__comment", "Description": "description", "Footprint": "footprint", "Manufacturer": "manufacturer", "Manufacturer Part Number": "manufacturer_part_number",
+    "Supplier": "supplier", "Supplier Part Number": "supplier_part_number", "ItemSource": "item_source", "UniqueId": "unique_id",
+}
+
+
+def bom_report(items: DataFrame, separator: str = ",") -> DataFrame:
+    """(path, ord, line): the header and a line for each item of ``sources.text.bom_items``; the user's comment stands where there is no other."""
+    rows = items.withColumn("__comment", F.coalesce("comment", "user_comments")).withColumnRenamed("record_no", "ord")
+    head = F.lit(separator.join(BOM_COLUMNS))
+    cells = F.concat_ws(separator, *(quote_bom(F.coalesce(F.col(c), F.lit("")), separator) for c in BOM_COLUMNS.values()))
+    return rows.select("path").distinct().select("path", F.lit(0).cast("bigint").alias("ord"), head.alias("line")).unionByName(rows.select("path", F.col("ord").cast("bigint").alias("ord"), cells.alias("line")))
+
+
 def rules(rows: DataFrame) -> DataFrame:
     """Rules by kind, priority and name within a document, with a flag where a new kind begins."""
     w = W.partitionBy("doc_id").orderBy("kind", "priority", "name", "ord")

@@ -769,3 +769,54 @@ def sheet_entry_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = schematic.nets(pins, lines, texts_, texts_, ports, none.select("doc_id", "x", "y"), sheet_entries=entries, connectors=sheets.withColumn("harness_type", F.lit("H")), harness_entries=signals)
     joined = lambda c, f: F.array_join(F.transform(c, f), ",")
     return found.select("doc_id", "net", joined("members", lambda m: F.concat_ws("-", m["designator"], m["pad"])).alias("members"), F.array_join("ports", ",").alias("ports"), joined("entries", lambda e: F.concat_ws("/", e["sheet_symbol"], e["entry"])).alias("entries"))
+
+
+@query("""SELECT p_partkey, CASE WHEN k <= 30 THEN 1 + k WHEN k <= 46 THEN 26 + k WHEN k = 47 THEN 56 ELSE 0 END AS number,
+CASE WHEN k <= 30 THEN 'MID' || k WHEN k <= 46 THEN 'MECHANICAL' || (k - 30) WHEN k = 47 THEN 'KEEPOUTLAYER' ELSE 'MECHANICAL1' END AS name FROM (SELECT p_partkey, p_size AS k FROM part)""".replace("26 + k", "56 + k - 30"))
+def layer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size")
+    name = F.when(k <= 30, F.concat(F.lit("Mid-Layer "), k.cast("string"))).when(k <= 46, F.concat(F.lit("mechanical "), (k - 30).cast("string"))).when(k == 47, "Keep-Out Layer").otherwise(F.concat(F.lit("Mid Layer "), k.cast("string")))
+    number = layers.number_of(name)
+    return t(spark, sf_dir, "part").select("p_partkey", number.alias("number"), layers.name_of(number).alias("name"))
+
+
+@query("""SELECT p_partkey, p_brand AS version, CASE WHEN p_size % 2 = 0 THEN 'x,"Comment=' || p_name || '","Note=a ""b"", c"' ELSE 'x,"Comment=' || p_name || '",URL=?a=1&b=2' END AS tokens FROM part""".replace("'x,", "'A=1,"))
+def token_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
+    even = F.col("p_size") % 2 == 0
+    some = F.when(even, F.array(pair("A", F.lit("1")), pair("Comment", F.col("p_name")), pair("Note", F.lit('a "b", c')))).otherwise(F.array(pair("A", F.lit("1")), pair("Comment", F.col("p_name")), pair("URL", F.lit("?a=1&b=2"))))
+    return t(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("version"), params.token_text(some).alias("tokens"))
+
+
+def _bom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each part: a header, and an item of which every second has no comment of its own."""
+    n = F.col("p_size").cast("string")
+    inner = F.concat(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Comment=C"), n, F.lit(","))).otherwise(""), F.lit('"Manufacturer Part Number=M '), n, F.lit('",Supplier='), F.regexp_replace("p_brand", " ", ""))
+    body = F.concat(F.lit("|RECORD=BOM|VERSION=7|FILENAME="), F.col("p_name"), F.lit("|PRODUCTIONQUANTITY="), n, F.lit("\r\n|RECORD=GeneralOptions|X="), n, F.lit("\r\n|RECORD=CatalogItem|DESIGNITEMID=D"), n, F.lit("|USERCOMMENTS=user, own|DESCRIPTION="), F.col("p_type"), F.lit("|COMPONENTPARAMETERS="), inner, F.lit("\r\n"))
+    return texts.records(t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), body.alias("text")))
+
+
+@query("""SELECT p_partkey, CAST(0 AS BIGINT) AS ord, 'DesignItemId,Comment,Description,Footprint,Manufacturer,Manufacturer Part Number,Supplier,Supplier Part Number,ItemSource,UniqueId' AS line FROM part
+UNION ALL SELECT p_partkey, 3, 'D' || p_size || ',' || CASE WHEN p_size % 2 = 0 THEN 'C' || p_size ELSE '"user, own"' END || ',' || p_type || ',,,M ' || p_size || ',' || replace(p_brand, ' ', '') || ',,,' FROM part""")
+def bom_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.bom_report(texts.bom_items(_bom(spark, sf_dir)))
+    return found.select(F.col("path").cast("bigint").alias("p_partkey"), "ord", "line")
+
+
+@query("SELECT p_partkey, CAST(7 AS INTEGER) AS version, p_name AS filename, CAST(p_size AS INTEGER) AS production_quantity, CAST(p_size AS VARCHAR) AS option FROM part")
+def bom_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _bom(spark, sf_dir)
+    options = texts.bom_options(found).select("path", params.first(F.col("params"), "X").alias("option"))
+    return texts.bom_header(found).join(options, "path").select(F.col("path").cast("bigint").alias("p_partkey"), "version", "filename", "production_quantity", "option")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || 'é' ELSE c_name || 'é' END AS text FROM customer")
+def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of UTF-8 and, every second, of single bytes."""
+    from ..functions.compression import deflated
+
+    k = F.col("c_custkey")
+    name = F.concat("c_name", F.lit("é"))
+    rows = t(spark, sf_dir, "customer").select(k.alias("k"), deflated(F.when(k % 2 == 0, name.cast("binary")).otherwise(F.encode(name, "ISO-8859-1"))).alias("z"))
+    metadata = rows.select(F.lit(1).alias("doc_id"), F.col("k").alias("ord"))
+    return models.joined(metadata, rows.select(F.lit(1).alias("doc_id"), F.col("k").alias("ord"), F.col("z").alias("payload"))).select(F.col("ord").alias("c_custkey"), "text")

@@ -69,8 +69,30 @@ def records(docs: DataFrame) -> DataFrame:
     return parsed.select("path", "record_no", params.first(F.col("params"), "RECORD").alias("kind"), "params")
 
 
+#: Fields of a catalogue item, as {column: key} of its record and of its component parameters.
+ITEM_FIELDS = {"unique_id": "UNIQUEID", "design_item_id": "DESIGNITEMID", "item_source": "ITEMSOURCE", "description": "DESCRIPTION", "user_comments": "USERCOMMENTS", "line_number": "LINENUMBER", "status": "STATUS"}
+ITEM_PARAMETERS = {
+    "comment": "Comment", "footprint": "Footprint", "component_kind": "Component Kind", "value": "Value", "manufacturer": "Manufacturer", "manufacturer_part_number": "Manufacturer Part Number",
+    "supplier": "Supplier", "supplier_part_number": "Supplier Part Number", "library_reference": "Library Reference",
+}
+
+
 def bom_items(found: DataFrame) -> DataFrame:
     """Catalogue items with their quoted component parameters; a parameter's first value counts, in any case of its name."""
-    items = found.where(F.upper("kind") == "CATALOGITEM").withColumn("component", params.token_params(params.quoted_tokens(F.coalesce(params.first(F.col("params"), "COMPONENTPARAMETERS"), F.lit("")))))
-    of = lambda k: params.first(F.col("component"), k)
-    return items.select("path", "record_no", of("Comment").alias("comment"), of("Footprint").alias("footprint"), of("Component Kind").alias("component_kind"), "component")
+    p = F.col("params")
+    items = found.where(F.upper("kind") == "CATALOGITEM").withColumn("component", params.token_params(params.quoted_tokens(F.coalesce(params.first(p, "COMPONENTPARAMETERS"), F.lit("")))))
+    own = [F.coalesce(params.first(p, k), F.lit("")).alias(c) for c, k in ITEM_FIELDS.items()]
+    return items.select("path", "record_no", *own, *(params.first(F.col("component"), k).alias(c) for c, k in ITEM_PARAMETERS.items()), "component")
+
+
+def bom_header(found: DataFrame) -> DataFrame:
+    """The first header record of each document."""
+    p = F.col("params")
+    first = found.where(F.upper("kind") == "BOM").groupBy("path").agg(F.min_by("params", "record_no").alias("params"))
+    text = lambda k: F.coalesce(params.first(p, k), F.lit(""))
+    return first.select("path", params.as_int(params.first(p, "VERSION")).alias("version"), *(text(k.upper()).alias(k) for k in ("filename", "kind", "date", "time", "currency")), params.as_int(params.first(p, "PRODUCTIONQUANTITY")).alias("production_quantity"))
+
+
+def bom_options(found: DataFrame) -> DataFrame:
+    """(path, params) of the first record of general options of each document."""
+    return found.where(F.upper("kind") == "GENERALOPTIONS").groupBy("path").agg(F.min_by("params", "record_no").alias("params"))
