@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bits import let
+
 
 def _doubled(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
@@ -87,23 +89,18 @@ def footprint_key(name: Column) -> Column:
     return F.replace(F.substring(name, 1, 31), F.lit("/"), F.lit("_"))
 
 
-def _let(value: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def guid_text(data: Column) -> Column:
     """``{8-4-4-4-12}`` from 16 bytes, of which the first three groups are little-endian."""
     h = lambda d, *places: F.concat(*(F.substring(d, 2 * i + 1, 2) for i in places))
     groups = lambda d: [h(d, 3, 2, 1, 0), h(d, 5, 4), h(d, 7, 6), h(d, 8, 9), h(d, 10, 11, 12, 13, 14, 15)]
-    return _let(F.hex(data), lambda d: F.when(F.length(d) == 32, F.concat(F.lit("{"), F.concat_ws("-", *groups(d)), F.lit("}"))))
+    return let(F.hex(data), lambda d: F.when(F.length(d) == 32, F.concat(F.lit("{"), F.concat_ws("-", *groups(d)), F.lit("}"))))
 
 
 def guid_bytes(text: Column) -> Column:
     """The 16 bytes of a GUID's text, with or without braces; null if it is none."""
     order = [3, 2, 1, 0, 5, 4, 7, 6, *range(8, 16)]
     joined = lambda h: F.unhex(F.concat(*(F.substring(h, 2 * i + 1, 2) for i in order)))
-    return _let(F.upper(F.regexp_replace(F.trim(text), r"[{}-]", "")), lambda h: F.when(h.rlike("^[0-9A-F]{32}$"), joined(h)))
+    return let(F.upper(F.regexp_replace(F.trim(text), r"[{}-]", "")), lambda h: F.when(h.rlike("^[0-9A-F]{32}$"), joined(h)))
 
 
 def exponent_text(value: Column) -> Column:

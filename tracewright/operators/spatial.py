@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bits import let
 from ..functions.units import clamp_int
 
 
@@ -93,27 +94,32 @@ def offset_polygon(points: Column, offset: Column) -> Column:
     """
     n = F.size(points)
     number = lambda c: c.cast("double")
-    at = lambda i: F.get(points, F.pmod(i, n))
+    at = lambda a, i: F.get(a, F.pmod(i, n))
     places = F.sequence(F.lit(0), n - 1)
-    out = F.when(doubled_area(points) > 0, 1.0).otherwise(-1.0)
 
-    def normal(i: Column) -> Column:
-        dx, dy = number(at(i + 1)["x"]) - number(at(i)["x"]), number(at(i + 1)["y"]) - number(at(i)["y"])
-        size = F.sqrt(dx * dx + dy * dy)
-        return F.when(size < 1e-6, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))).otherwise(F.struct((out * dy / size).alias("x"), (-out * dx / size).alias("y")))
+    def edge(a: Column, i: Column) -> tuple[Column, Column]:
+        return number(at(a, i + 1)["x"]) - number(at(a, i)["x"]), number(at(a, i + 1)["y"]) - number(at(a, i)["y"])
 
-    normals = F.transform(places, normal)
+    def moved(area: Column) -> Column:
+        out = F.when(area > 0, 1.0).otherwise(-1.0)
 
-    def corner(i: Column) -> Column:
-        a, b, p = F.get(normals, F.pmod(i - 1, n)), F.get(normals, i), at(i)
-        scale = offset.cast("double") / F.when(a["x"] * b["x"] + a["y"] * b["y"] > -1 + 1e-12, 1 + a["x"] * b["x"] + a["y"] * b["y"]).otherwise(2.0)
-        return F.struct(clamp_int(F.round(number(p["x"]) + scale * (a["x"] + b["x"]))).alias("x"), clamp_int(F.round(number(p["y"]) + scale * (a["y"] + b["y"]))).alias("y"))
+        def normal(i: Column) -> Column:
+            dx, dy = edge(points, i)
+            size = F.sqrt(dx * dx + dy * dy)
+            return F.when(size < 1e-6, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))).otherwise(F.struct((out * dy / size).alias("x"), (-out * dx / size).alias("y")))
 
-    moved = F.transform(places, corner)
-    new = lambda i: F.get(moved, F.pmod(i, n))
-    ahead = lambda i: (number(at(i + 1)["x"]) - number(at(i)["x"])) * (number(new(i + 1)["x"]) - number(new(i)["x"])) + (number(at(i + 1)["y"]) - number(at(i)["y"])) * (number(new(i + 1)["y"]) - number(new(i)["y"]))
-    turned = (offset < 0) & F.exists(places, lambda i: ahead(i) < 0)
-    return F.when((n >= 3) & (doubled_area(points) != 0) & ~turned, moved)
+        def corner(a: Column, b: Column, p: Column) -> Column:
+            product = a["x"] * b["x"] + a["y"] * b["y"]
+            scale = offset.cast("double") / F.when(product > -1 + 1e-12, 1 + product).otherwise(2.0)
+            return F.struct(*(clamp_int(F.round(number(p[c]) + scale * (a[c] + b[c]))).alias(c) for c in "xy"))
+
+        def checked(new: Column) -> Column:
+            ahead = lambda i: sum(u * v for u, v in zip(edge(points, i), edge(new, i)))
+            return F.when((n >= 3) & (area != 0) & ~((offset < 0) & F.exists(places, lambda i: ahead(i) < 0)), new)
+
+        return let(F.transform(places, normal), lambda normals: let(F.transform(places, lambda i: corner(at(normals, i - 1), at(normals, i), at(points, i))), checked))
+
+    return let(doubled_area(points), moved)
 
 
 def fit(box: DataFrame, width: float, height: float, margin: float) -> DataFrame:
