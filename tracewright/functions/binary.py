@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bits import let
+
 
 def unsigned(data: Column, offset: int | Column, size: int) -> Column:
     """Up to seven bytes as BIGINT."""
     at = F.lit(offset) if isinstance(offset, int) else offset
-    digits = F.concat(*(F.hex(F.substring(data, at + i + 1, F.lit(1))) for i in reversed(range(size))))
-    return F.when(F.octet_length(data) >= at + size, F.conv(digits, 16, 10).cast("bigint"))
+    number = lambda h: F.conv(F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(size)))), 16, 10).cast("bigint")
+    return let(F.hex(F.substring(data, at + 1, F.lit(size))), lambda h: F.when(F.length(h) == 2 * size, number(h)))
 
 
 def signed(data: Column, offset: int | Column, size: int) -> Column:
@@ -24,12 +26,16 @@ def int32(data: Column, offset: int | Column) -> Column:
 
 def double(data: Column, offset: int) -> Column:
     """An IEEE double, from its bits: exact, as its parts are scaled by powers of two."""
-    low, high = unsigned(data, offset, 4), unsigned(data, offset + 4, 4)
-    sign = F.when(high >= 1 << 31, F.lit(-1.0)).otherwise(1.0)
-    exponent = F.shiftright(high, 20).bitwiseAND(F.lit(0x7FF))
-    part = (high.bitwiseAND(F.lit(0xFFFFF)).cast("double") * float(1 << 32) + low.cast("double")) * 2.0**-52
-    normal = (part + 1.0) * F.pow(F.lit(2.0), (exponent - 1023).cast("double"))
-    return F.when(exponent == 0, sign * part * 2.0**-1022).when((exponent == 0x7FF) & (part == 0), sign * float("inf")).when(exponent == 0x7FF, F.lit(float("nan"))).otherwise(sign * normal)
+
+    def value(w: Column) -> Column:
+        low, high = w["low"], w["high"]
+        sign = F.when(high >= 1 << 31, F.lit(-1.0)).otherwise(1.0)
+        exponent = F.shiftright(high, 20).bitwiseAND(F.lit(0x7FF))
+        part = (high.bitwiseAND(F.lit(0xFFFFF)).cast("double") * float(1 << 32) + low.cast("double")) * 2.0**-52
+        normal = (part + 1.0) * F.pow(F.lit(2.0), (exponent - 1023).cast("double"))
+        return F.when(exponent == 0, sign * part * 2.0**-1022).when((exponent == 0x7FF) & (part == 0), sign * float("inf")).when(exponent == 0x7FF, F.lit(float("nan"))).otherwise(sign * normal)
+
+    return let(F.struct(unsigned(data, offset, 4).alias("low"), unsigned(data, offset + 4, 4).alias("high")), lambda w: F.when(w["high"].isNotNull(), value(w)))
 
 
 def pascal(data: Column, offset: int = 0) -> Column:

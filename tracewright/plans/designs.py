@@ -750,8 +750,9 @@ def sheet_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "net", F.array_join(F.array_sort(F.transform("members", lambda m: m["designator"])), ",").alias("members"))
 
 
-@query("""WITH s AS (SELECT s_nationkey AS doc_id, s_suppkey AS k, s_name, s_suppkey % 2 = 0 AS even FROM supplier)
-SELECT doc_id, CASE WHEN even THEN 'bus.' || s_name ELSE 'N' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, even ORDER BY k) AS VARCHAR), 5, '0') END AS net, 'P' || k || '-1' AS members,
+# the harness entry of the sheet symbol, which has the least point, takes the first number and goes, as it is alone
+@query("""WITH s AS (SELECT s_nationkey AS doc_id, s_suppkey AS k, s_name, s_suppkey % 2 = 0 AS even, CAST(bool_or(s_suppkey % 2 = 0) OVER (PARTITION BY s_nationkey) AS INTEGER) AS bus FROM supplier)
+SELECT doc_id, CASE WHEN even THEN 'bus.' || s_name ELSE 'N' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, even ORDER BY k) + bus AS VARCHAR), 5, '0') END AS net, 'P' || k || '-1' AS members,
   CASE WHEN even THEN 'bus.' || s_name ELSE '' END AS ports, 'child/' || CASE WHEN even THEN 'bus.' || s_name ELSE s_name END AS entries FROM s""")
 def sheet_entry_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as sheets: each supplier is a pin; even ones lie on an entry of the sheet's harness connector, which meets a harness entry of a sheet symbol, odd ones on a plain sheet entry."""

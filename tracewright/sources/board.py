@@ -71,7 +71,7 @@ def prefix(b: Column) -> list[Column]:
 
 
 def _of(records: DataFrame, kind: int) -> tuple[DataFrame, Column]:
-    rows = records.where(F.col("kind") == kind).withColumn("__b", main_block()).where(F.octet_length("__b") >= PREFIX)
+    rows = records.where(F.col("kind") == kind).withColumn("__b", F.explode(F.array(main_block()))).where(F.octet_length("__b") >= PREFIX)  # a generator, so that the block is not worked out again for each field
     return rows, F.col("__b")
 
 
