@@ -674,7 +674,7 @@ def test_odd_rows_in_classes(spark):
 def test_stages_on_odd_rows(spark):
     import corpus_pipeline
 
-    for docs in (odd(spark), none(spark), odd(spark).select("text", "doc_id", F.lit(1).alias("item_id"), F.lit("x").alias("band"), F.lit("y").alias("decoded"))):
+    for docs in (odd(spark), none(spark), odd(spark).select("text", "lang", "doc_id", F.lit(1).alias("item_id"), F.lit("x").alias("band"), F.lit("y").alias("decoded"))):
         for name, stage in corpus_pipeline.STAGES:
             now = stage(spark, docs, SF)
             rows = now.collect()
